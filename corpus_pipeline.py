@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrane.llm import quality
+from terrane.llm import quality, simhash
 from terrane.llm.common import settle, table
 
 
@@ -13,7 +13,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
-STAGES = [("quality rules", quality_rules)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
+    return simhash.keep_first(docs)
+
+
+STAGES = [("quality rules", quality_rules), ("SimHash near-dedup", near_dedup)]
 ORACLE_SQL = None
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terrane.llm import quality, sharding
+from terrane.llm import mixing, quality, sharding, simhash, tokencount
 from terrane.llm.common import table
 
 SHARDS = 40
@@ -16,6 +16,10 @@ def op1_sharding(spark, sf_dir):
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source", "rank")
 
 
+def op3_simhash(spark, sf_dir):
+    return simhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -51,5 +55,53 @@ j AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality
 SELECT *, NOT base_failed AND {" AND ".join(rules)} AS kept FROM j"""
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op9_quality_rules": op9_quality_rules}
-ORACLES = {"op9_quality_rules": _op9_sql()}
+#: Production mix: domains by the source's number, whole-number weights, three quarters of all tokens, four epochs at most.
+MIX = mixing.Mix(
+    domains=(("crawl", "^src[0-9]$", 50), ("books", "^src1[0-4]$", 30)),
+    other_domain=("reference", 20),
+    languages={"en": 55, "de": 20, "fr": 15, "es": 10},
+    other_language=5,
+)
+
+
+def op2_mixing(spark, sf_dir):
+    return mixing.drawn(table(spark, sf_dir, "documents"), MIX)
+
+
+def _op2_sql(mix: mixing.Mix = MIX) -> str:
+    def case(value, weights, other):
+        return "CASE " + " ".join(f"WHEN {value} = '{k}' THEN {w}" for k, w in weights.items()) + f" ELSE {other} END" if weights else str(other)
+
+    def pour(name, nodes, group, child, weight):
+        over = f"PARTITION BY {group}" if group else ""
+        return f"""
+{name}_w AS (SELECT * FROM (SELECT *, CAST({weight} AS BIGINT) AS w FROM ({nodes})) WHERE w > 0 AND cap > 0),
+{name}_l AS (SELECT *, (budget - CAST(sum(cap) OVER ({over} ORDER BY CAST(cap AS DOUBLE) / w, {child}) - cap AS DOUBLE))
+    / CAST(sum(w) OVER ({over}) - sum(w) OVER ({over} ORDER BY CAST(cap AS DOUBLE) / w, {child}) + w AS DOUBLE) AS level FROM {name}_w),
+{name} AS (SELECT * EXCLUDE (level), CASE WHEN CAST(cap AS DOUBLE) / w <= level THEN CAST(cap AS DOUBLE)
+    ELSE max(CASE WHEN NOT CAST(cap AS DOUBLE) / w <= level THEN level END) OVER ({over}) * w END AS given FROM {name}_l)"""
+
+    domain = "CASE " + " ".join(f"WHEN regexp_matches(source, '{p}') THEN '{n}'" for n, p, _ in mix.domains) + f" ELSE '{mix.other_domain[0]}' END"
+    weights = {n: w for n, _, w in mix.domains}
+    return rf"""
+WITH r AS (SELECT doc_id, {domain} AS domain, lang, source, coalesce('=' || lang, '') AS l, coalesce('=' || source, '') AS s,
+    CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
+]+'), lambda x: x <> '')) AS BIGINT) AS tokens FROM documents),
+leaf AS (SELECT domain, l, s, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(tokens) * {mix.epochs} AS BIGINT) AS cap FROM r GROUP BY ALL),
+lng AS (SELECT domain, l, CAST(sum(cap) AS BIGINT) AS cap FROM leaf GROUP BY ALL),
+dom AS (SELECT domain, CAST(sum(cap) AS BIGINT) AS cap, (SELECT CAST(sum(tokens) AS DOUBLE) * {mix.share} FROM leaf) AS budget FROM lng GROUP BY ALL),
+{pour("pd", "SELECT * FROM dom", "", "domain", case("domain", weights, mix.other_domain[1]))},
+{pour("pl", "SELECT lng.*, given AS budget FROM lng JOIN pd USING (domain)", "domain", "l", case("l", {f"={k}": w for k, w in mix.languages.items()}, mix.other_language))},
+{pour("ps", "SELECT leaf.*, given AS budget FROM leaf JOIN pl USING (domain, l)", "domain, l", "s", case("s", {f"={k}": w for k, w in mix.sources.items()}, mix.other_source))},
+q AS (SELECT domain, l, s, quota, quota // tokens AS whole, quota % tokens AS rest FROM (SELECT *, CAST(floor(given) AS BIGINT) AS quota FROM ps)),
+h AS (SELECT r.*, quota, whole, rest, CAST('0x' || substr(md5(concat_ws(':', '{mix.seed}', CAST(whole AS VARCHAR), CAST(doc_id AS VARCHAR))), 1, 15) AS BIGINT) AS hash FROM r JOIN q USING (domain, l, s)),
+c AS (SELECT *, whole + CASE WHEN sum(tokens) OVER (PARTITION BY domain, l, s ORDER BY hash) <= rest THEN 1 ELSE 0 END AS n FROM h)
+SELECT doc_id, domain, lang, source, tokens, unnest(range(0, CAST(n AS BIGINT))) AS epoch, quota FROM c"""
+
+
+def op10_token_counts(spark, sf_dir):
+    return tokencount.with_counts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op2_mixing": op2_mixing, "op3_simhash": op3_simhash, "op9_quality_rules": op9_quality_rules, "op10_token_counts": op10_token_counts}
+ORACLES = {"op2_mixing": _op2_sql(), "op9_quality_rules": _op9_sql()}
