@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrane.llm import quality, simhash
+from terrane.llm import decontam, mixing, quality, simhash
 from terrane.llm.common import settle, table
 
 
@@ -18,7 +18,28 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_first(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("SimHash near-dedup", near_dedup)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontam.drop_leaked(docs, table(spark, sf_dir, "benchmark"))
+
+
+#: As in production, but each document is drawn once at most, and the budget is what 80 % of the words allow.
+MIX = mixing.Mix(
+    domains=(("crawl", "^src[0-9]$", 50), ("books", "^src1[0-4]$", 30)),
+    other_domain=("reference", 20),
+    languages={"en": 55, "de": 20, "fr": 15, "es": 10},
+    other_language=5,
+    share=0.8,
+    epochs=1,
+)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each source's share of the words is cut to its target weight."""
+    return mixing.select_rows(docs, MIX)
+
+
+STAGES = [("quality rules", quality_rules), ("SimHash near-dedup", near_dedup), ("benchmark decontamination", decontamination), ("mixing to target weights", mix_sources)]
 ORACLE_SQL = None
 
 
