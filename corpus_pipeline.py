@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrane.llm import decontam, mixing, quality, simhash
+from terrane.llm import decontam, mixing, quality, simhash, tokenfile
 from terrane.llm.common import settle, table
 
 
@@ -39,7 +39,18 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.select_rows(docs, MIX)
 
 
-STAGES = [("quality rules", quality_rules), ("SimHash near-dedup", near_dedup), ("benchmark decontamination", decontamination), ("mixing to target weights", mix_sources)]
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids to a binary file, and each document's place in it as read back."""
+    return tokenfile.written(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("SimHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("mixing to target weights", mix_sources),
+    ("token-ID output", token_output),
+]
 ORACLE_SQL = None
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terrane.llm import decontam, mixing, quality, sharding, simhash, tokencount
+from terrane.llm import decontam, mixing, quality, sharding, simhash, tokencount, tokenfile
 from terrane.llm.common import table
 
 SHARDS = 40
@@ -26,6 +26,10 @@ def op4_decontamination(spark, sf_dir):
     return found.select("doc_id", "item_id", F.round("score", 6).alias("score"), "start_byte", "end_byte")
 
 
+def op5_token_file(spark, sf_dir):
+    return tokenfile.written(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -109,5 +113,5 @@ def op10_token_counts(spark, sf_dir):
     return tokencount.with_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_mixing": op2_mixing, "op3_simhash": op3_simhash, "op4_decontamination": op4_decontamination, "op9_quality_rules": op9_quality_rules, "op10_token_counts": op10_token_counts}
+QUERIES = {"op1_sharding": op1_sharding, "op2_mixing": op2_mixing, "op3_simhash": op3_simhash, "op4_decontamination": op4_decontamination, "op5_token_file": op5_token_file, "op9_quality_rules": op9_quality_rules, "op10_token_counts": op10_token_counts}
 ORACLES = {"op2_mixing": _op2_sql(), "op9_quality_rules": _op9_sql()}
