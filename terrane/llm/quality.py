@@ -107,7 +107,10 @@ def keep_good(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES
     """The rows whose text passes the base rule and the table; same columns."""
     columns = df.columns
     df, m = with_metrics(df, text)
-    return df.filter(~base_failed(F.col(m)) & verdict(F.col(m), rules)).select(*(F.col(f"`{c}`") for c in columns))
+    good = fresh(df, "_good")
+    # A generator of one row: Catalyst would push a plain filter below the metrics and work them out again for each rule.
+    df = df.withColumn(good, F.explode(F.array(~base_failed(F.col(m)) & verdict(F.col(m), rules)))).filter(F.col(good))
+    return df.select(*(F.col(f"`{c}`") for c in columns))
 
 
 def judge(df: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
