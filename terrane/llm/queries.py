@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terrane.llm import decontam, mixing, quality, sharding, simhash, tokencount, tokenfile
+from terrane.llm import decontam, mixing, quality, sharding, simhash, tokencount, tokenfile, toxicity
 from terrane.llm.common import table
 
 SHARDS = 40
@@ -30,6 +30,18 @@ def op5_token_file(spark, sf_dir):
     return tokenfile.written(table(spark, sf_dir, "documents"))
 
 
+def _fold_of(modulus: int):
+    """True where crc32 of the key as text leaves 2: those rows are never learnt from."""
+    return lambda key: F.coalesce(F.crc32(key.cast("string").cast("binary")) % modulus == 2, F.lit(False))
+
+
+def op8_toxicity(spark, sf_dir):
+    docs, held = table(spark, sf_dir, "documents"), _fold_of(4)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), lambda key: ~held(key))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_matches")
+
+
 def op9_quality_rules(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -113,5 +125,5 @@ def op10_token_counts(spark, sf_dir):
     return tokencount.with_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_mixing": op2_mixing, "op3_simhash": op3_simhash, "op4_decontamination": op4_decontamination, "op5_token_file": op5_token_file, "op9_quality_rules": op9_quality_rules, "op10_token_counts": op10_token_counts}
+QUERIES = {"op1_sharding": op1_sharding, "op2_mixing": op2_mixing, "op3_simhash": op3_simhash, "op4_decontamination": op4_decontamination, "op5_token_file": op5_token_file, "op8_toxicity": op8_toxicity, "op9_quality_rules": op9_quality_rules, "op10_token_counts": op10_token_counts}
 ORACLES = {"op2_mixing": _op2_sql(), "op9_quality_rules": _op9_sql()}
