@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terrane.llm import decontam, mixing, quality, sharding, simhash, tokencount, tokenfile, toxicity
+from terrane.llm import decontam, linededup, mixing, quality, sharding, simhash, tokencount, tokenfile, toxicity
 from terrane.llm.common import table
 
 SHARDS = 40
@@ -30,6 +30,10 @@ def op5_token_file(spark, sf_dir):
     return tokenfile.written(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark, sf_dir):
+    return linededup.summary(table(spark, sf_dir, "documents"))
+
+
 def _fold_of(modulus: int):
     """True where crc32 of the key as text leaves 2: those rows are never learnt from."""
     return lambda key: F.coalesce(F.crc32(key.cast("string").cast("binary")) % modulus == 2, F.lit(False))
@@ -125,5 +129,5 @@ def op10_token_counts(spark, sf_dir):
     return tokencount.with_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_mixing": op2_mixing, "op3_simhash": op3_simhash, "op4_decontamination": op4_decontamination, "op5_token_file": op5_token_file, "op8_toxicity": op8_toxicity, "op9_quality_rules": op9_quality_rules, "op10_token_counts": op10_token_counts}
+QUERIES = {"op1_sharding": op1_sharding, "op2_mixing": op2_mixing, "op3_simhash": op3_simhash, "op4_decontamination": op4_decontamination, "op5_token_file": op5_token_file, "op7_line_dedup": op7_line_dedup, "op8_toxicity": op8_toxicity, "op9_quality_rules": op9_quality_rules, "op10_token_counts": op10_token_counts}
 ORACLES = {"op2_mixing": _op2_sql(), "op9_quality_rules": _op9_sql()}
