@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terrane.llm import decontam, linededup, mixing, quality, sharding, simhash, tokencount, tokenfile, toxicity
+from terrane.llm import decontam, linededup, maxent, mixing, quality, sharding, simhash, tokencount, tokenfile, toxicity
 from terrane.llm.common import table
 
 SHARDS = 40
@@ -39,6 +39,10 @@ def _fold_of(modulus: int):
     return lambda key: F.coalesce(F.crc32(key.cast("string").cast("binary")) % modulus == 2, F.lit(False))
 
 
+def op6_lm_scoring(spark, sf_dir):
+    return maxent.scores(table(spark, sf_dir, "documents"), _fold_of(7))
+
+
 def op8_toxicity(spark, sf_dir):
     docs, held = table(spark, sf_dir, "documents"), _fold_of(4)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), lambda key: ~held(key))
@@ -129,5 +133,5 @@ def op10_token_counts(spark, sf_dir):
     return tokencount.with_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_mixing": op2_mixing, "op3_simhash": op3_simhash, "op4_decontamination": op4_decontamination, "op5_token_file": op5_token_file, "op7_line_dedup": op7_line_dedup, "op8_toxicity": op8_toxicity, "op9_quality_rules": op9_quality_rules, "op10_token_counts": op10_token_counts}
+QUERIES = {"op1_sharding": op1_sharding, "op2_mixing": op2_mixing, "op3_simhash": op3_simhash, "op4_decontamination": op4_decontamination, "op5_token_file": op5_token_file, "op6_lm_scoring": op6_lm_scoring, "op7_line_dedup": op7_line_dedup, "op8_toxicity": op8_toxicity, "op9_quality_rules": op9_quality_rules, "op10_token_counts": op10_token_counts}
 ORACLES = {"op2_mixing": _op2_sql(), "op9_quality_rules": _op9_sql()}

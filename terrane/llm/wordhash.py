@@ -38,7 +38,7 @@ def space_map() -> np.ndarray:
     t = np.arange(256, dtype=np.uint8)
     t[65:91] += 32
     t[[0x20, *range(0x09, 0x0E)]] = 0
-    t[0] = 1  # a NUL byte is part of a word; the value 1 is its own otherwise unused stand-in
+    t[0] = 0xFE  # a NUL byte is part of a word; no UTF-8 text has this byte
     return t
 
 
