@@ -69,3 +69,25 @@ def matches_search(label: Column, node_id: Column, query: str) -> Column:
 def error_line(file: Column, line: Column, message: Column) -> Column:
     """``file:line: message``; without the line where it is 0."""
     return F.when(line > 0, F.concat(file, F.lit(":"), line.cast("string"), F.lit(": "), message)).otherwise(F.concat(file, F.lit(": "), message))
+
+
+#: What stands before a name in a label, by entity kind.
+NAME_PREFIX = {"function": "Функция ", "method": "Функция ", "type": "Тип ", "interface": "Интерфейс ", "variable": "Переменная ", "call": "Вызов "}
+
+
+def named(name: Column, kind: Column) -> Column:
+    """A name with its kind's prefix; the kind alone where there is no name."""
+    prefix = F.lit("")
+    for k, p in NAME_PREFIX.items():
+        prefix = F.when(kind == k, p).otherwise(prefix)
+    return F.when(F.coalesce(name, F.lit("")) == "", kind).otherwise(F.concat(prefix, name))
+
+
+def label_and_summary(kind: Column, label: Column, name: Column, condition: Column) -> tuple[Column, Column]:
+    """Label and summary of a scope entity: a given label wins; else branches, loops and returns show their condition, the rest their name."""
+    cond = F.coalesce(F.trim(condition), F.lit(""))
+    has, given = cond != "", F.coalesce(label, F.lit("")) != ""
+    word = F.when(kind == "if", "if").when(kind == "return", "return").when(kind == "loop", F.when(name == "range", "range").otherwise("for"))
+    shows = has & (kind.isin("if", "return") | ((kind == "loop") & name.isin("range", "for")))
+    text = F.when(given, label).when(kind == "else", "else").when(shows, F.concat(word, F.lit(" "), cond)).when(word.isNotNull(), word).otherwise(named(name, kind))
+    return text, F.when(~given & has & kind.isin("if", "loop", "return"), cond)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from terrane.operators import layout
 from terrane.plans.tables import table
 
 
@@ -45,5 +47,123 @@ UNION ALL SELECT 'c:' || c_custkey, 'n:' || c_nationkey, 2, CAST(size AS BIGINT)
 UNION ALL SELECT 'o:' || o_orderkey, 'c:' || o_custkey, 3, CAST(size AS BIGINT) FROM o
 UNION ALL SELECT 'l:' || l_orderkey || ':' || l_linenumber, 'o:' || l_orderkey, 4, CAST(1 AS BIGINT) FROM lineitem"""
 
-QUERIES = {"scope_tree": scope_tree}
-ORACLES = {"scope_tree": SCOPE_TREE_SQL}
+
+def children_ordered(spark, sf_dir):
+    """Lines of each order with their place among their siblings."""
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    return line.withColumn("ord", F.row_number().over(w))
+
+
+CHILDREN_SQL = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS ord FROM lineitem"
+
+
+def cross_refs_out(spark, sf_dir):
+    """Per order, the parts its lines call: bag semantics, counted."""
+    line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    label = F.concat(F.lit("→ "), F.col("p_name"), F.lit(" in "), F.col("p_brand"))
+    return line.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey", "l_partkey", label.alias("label")).agg(F.count("*").alias("n"))
+
+
+def cross_refs_in(spark, sf_dir):
+    """Per part, the orders that call it."""
+    line, part, orders = (table(spark, sf_dir, t) for t in ("lineitem", "part", "orders"))
+    calls = line.join(part.select("p_partkey"), F.col("l_partkey") == F.col("p_partkey")).join(orders.select("o_orderkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
+    label = F.concat(F.lit("← "), F.col("o_orderkey").cast("string"), F.lit(" in "), F.col("o_orderpriority"))
+    return calls.groupBy("p_partkey", label.alias("label")).agg(F.count("*").alias("n"))
+
+
+REFS_OUT_SQL = "SELECT l_orderkey, l_partkey, '→ ' || p_name || ' in ' || p_brand AS label, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL"
+REFS_IN_SQL = "SELECT p_partkey, '← ' || o_orderkey || ' in ' || o_orderpriority AS label, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL"
+
+
+def project_tree(spark, sf_dir):
+    """Brand > type > part for large parts; empty types and brands drop out."""
+    part = table(spark, sf_dir, "part").filter("p_size >= 45")
+    b = part.select(F.concat(F.lit("b:"), "p_brand").alias("id"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth")).distinct()
+    t = part.select(F.concat(F.lit("t:"), "p_brand", F.lit("/"), "p_type").alias("id"), F.concat(F.lit("b:"), "p_brand").alias("parent"), F.lit(1).alias("depth")).distinct()
+    p = part.select(F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("id"), F.concat(F.lit("t:"), "p_brand", F.lit("/"), "p_type").alias("parent"), F.lit(2).alias("depth"))
+    return b.unionByName(t).unionByName(p)
+
+
+PROJECT_SQL = """
+WITH f AS (SELECT * FROM part WHERE p_size >= 45)
+SELECT DISTINCT 'b:' || p_brand AS id, CAST(NULL AS VARCHAR) AS parent, 0 AS depth FROM f
+UNION ALL SELECT DISTINCT 't:' || p_brand || '/' || p_type, 'b:' || p_brand, 1 FROM f
+UNION ALL SELECT 'p:' || p_partkey, 't:' || p_brand || '/' || p_type, 2 FROM f"""
+
+
+def symbol_picker(spark, sf_dir):
+    return table(spark, sf_dir, "part").filter(F.col("p_type").isin("ECONOMY", "PROMO")).select("p_partkey", "p_name").orderBy("p_partkey")
+
+
+def longest_path_layers(spark, sf_dir):
+    """Layers of a DAG with skip edges: nation n points to 2n + 1, 2n + 2 and n + 5; a layer is the longest path to a node."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("a"))
+    edges = n.select("a", F.explode(F.array(2 * F.col("a") + 1, 2 * F.col("a") + 2, F.col("a") + 5)).alias("b")).filter("b < 25").distinct()
+    return layout.longest_path(n.select(F.col("a").alias("node")), edges)
+
+
+LAYERS_SQL = """
+WITH RECURSIVE e AS (SELECT DISTINCT n_nationkey AS a, unnest([2 * n_nationkey + 1, 2 * n_nationkey + 2, n_nationkey + 5]) AS b FROM nation),
+w AS (SELECT n_nationkey AS node, 0 AS layer FROM nation UNION SELECT e.b, w.layer + 1 FROM w JOIN e ON e.a = w.node WHERE e.b < 25)
+SELECT node, CAST(max(layer) AS INTEGER) AS layer FROM w GROUP BY 1"""
+
+
+def _tree(spark, sf_dir):
+    region, nation, supplier = (table(spark, sf_dir, t) for t in ("region", "nation", "supplier"))
+    place = lambda *cols: F.concat_ws("/", *(F.lpad(F.col(c).cast("string"), 8, "0") for c in cols))
+    r = region.select(place("r_regionkey").alias("path"), F.lit(0).alias("depth"), F.lit(60).alias("height"), F.lit(200).alias("width"))
+    n = nation.select(place("n_regionkey", "n_nationkey").alias("path"), F.lit(1).alias("depth"), (40 + F.col("n_nationkey") % 3 * 10).cast("int").alias("height"), F.lit(180).alias("width"))
+    s = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(place("n_regionkey", "n_nationkey", "s_suppkey").alias("path"), F.lit(2).alias("depth"), F.lit(30).alias("height"), (140 + F.col("s_suppkey") % 5 * 20).cast("int").alias("width"))
+    return r.unionByName(n).unionByName(s)
+
+
+_TREE_SQL = """t AS (
+  SELECT lpad(CAST(r_regionkey AS VARCHAR), 8, '0') AS path, 0 AS depth, 60 AS height, 200 AS width FROM region
+  UNION ALL SELECT lpad(CAST(n_regionkey AS VARCHAR), 8, '0') || '/' || lpad(CAST(n_nationkey AS VARCHAR), 8, '0'), 1, 40 + n_nationkey % 3 * 10, 180 FROM nation
+  UNION ALL SELECT lpad(CAST(n_regionkey AS VARCHAR), 8, '0') || '/' || lpad(CAST(n_nationkey AS VARCHAR), 8, '0') || '/' || lpad(CAST(s_suppkey AS VARCHAR), 8, '0'), 2, 30, CAST(140 + s_suppkey % 5 * 20 AS INTEGER) FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
+_POS_SQL = f"{_TREE_SQL}, p AS (SELECT *, depth * 44 AS x, CAST(coalesce(sum(height + 28) OVER (PARTITION BY substr(path, 1, 8) ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS y FROM t)"
+
+
+def tree_positions(spark, sf_dir):
+    """Each root is a drawing of its own: x by depth, y by the heights before it in pre-order."""
+    return layout.tree_positions(_tree(spark, sf_dir).withColumn("root", F.substring("path", 1, 8)), "root").drop("root")
+
+
+def scope_regions(spark, sf_dir):
+    """Bounds of each scope that has children, padded by its height above the deepest node inside it."""
+    return layout.scope_regions(tree_positions(spark, sf_dir))
+
+
+REGIONS_SQL = f"""WITH {_POS_SQL},
+c AS (SELECT a.path, d.depth - a.depth AS k, d.x, d.y, d.width, d.height FROM p a JOIN p d ON d.path = a.path OR starts_with(d.path, a.path || '/'))
+SELECT path, depth, min(x - 18 - 10 * k) AS left_x, min(y - 18 - 10 * k) AS top_y, max(x + width + 18 + 10 * k) AS right_x, max(y + height + 18 + 10 * k) AS bottom_y
+FROM (SELECT c.*, p.depth FROM c JOIN p USING (path)) GROUP BY 1, 2 HAVING count(*) > 1"""
+
+
+def edge_lift_dedup(spark, sf_dir):
+    """Line-to-part edges lifted to the customer where the line is hidden; one edge per pair, structural ones first."""
+    line, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    lifted = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("a"), F.col("l_suppkey").alias("b"), F.lit(1).alias("priority"))
+    structural = orders.select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 50).alias("b"), F.lit(0).alias("priority"))
+    return layout.dedup_edges(lifted.unionByName(structural))
+
+
+LIFT_SQL = """
+SELECT a, b, min(priority) AS priority FROM (SELECT o_custkey AS a, l_suppkey AS b, 1 AS priority FROM lineitem JOIN orders ON l_orderkey = o_orderkey UNION ALL SELECT o_custkey, o_orderkey % 50, 0 FROM orders) WHERE a <> b GROUP BY 1, 2"""
+
+_ALL = {
+    "scope_tree": (scope_tree, SCOPE_TREE_SQL),
+    "children_ordered": (children_ordered, CHILDREN_SQL),
+    "cross_refs_out": (cross_refs_out, REFS_OUT_SQL),
+    "cross_refs_in": (cross_refs_in, REFS_IN_SQL),
+    "project_tree": (project_tree, PROJECT_SQL),
+    "symbol_picker": (symbol_picker, "SELECT p_partkey, p_name FROM part WHERE p_type IN ('ECONOMY', 'PROMO')"),
+    "longest_path_layers": (longest_path_layers, LAYERS_SQL),
+    "tree_positions": (tree_positions, f"WITH {_POS_SQL} SELECT * FROM p"),
+    "scope_regions": (scope_regions, REGIONS_SQL),
+    "edge_lift_dedup": (edge_lift_dedup, LIFT_SQL),
+}
+QUERIES = {k: f for k, (f, _) in _ALL.items()}
+ORACLES = {k: sql for k, (_, sql) in _ALL.items()}
