@@ -22,11 +22,11 @@ def greedy_windows(df: DataFrame, key: str, line: str, budget: int = BUDGET) ->
     return per_key.select(key, F.posexplode(greedy_starts(F.col("_ls"), budget)).alias("_n", "start_line")).select(key, (F.col("_n") + 1).alias("window_no"), "start_line")
 
 
-def window_of(df: DataFrame, windows: DataFrame, key: str, line: str, budget: int = BUDGET) -> DataFrame:
+def window_of(df: DataFrame, windows: DataFrame, key: str, line: str, budget: int = BUDGET, first: str = "start_line") -> DataFrame:
     """df with the window_no each row falls in: an equi-join on the key and the block of lines, as a window meets two blocks at most."""
-    w = windows.withColumn("_block", F.explode(F.array_distinct(F.array(F.expr(f"start_line div {budget}"), F.expr(f"(start_line + {budget - 1}) div {budget}")))))
+    w = windows.withColumn("_block", F.explode(F.array_distinct(F.array(F.expr(f"{first} div {budget}"), F.expr(f"({first} + {budget - 1}) div {budget}")))))
     rows = df.withColumn("_block", F.expr(f"cast({line} as int) div {budget}"))
-    return rows.join(w, [key, "_block"]).filter(F.col(line).between(F.col("start_line"), F.col("start_line") + (budget - 1))).drop("_block")
+    return rows.join(w, [key, "_block"]).filter(F.col(line).between(F.col(first), F.col(first) + (budget - 1))).drop("_block")
 
 
 def adjacent_merge(df: DataFrame, key: str, order: list[str], group: str) -> DataFrame:

@@ -470,22 +470,34 @@ class Extractor:
             self.entity(f, "call", self.eid(f, "call", x, name), parent, x, y, name=name, callee=target, code=src.slice(x, y))
 
 
-def extract(module: str, texts: dict[str, str]) -> dict[str, list[dict]]:
-    """All relations of a module's files (relative path -> text). A package with a syntax error gives its package row and errors only."""
+def package_id(module: str, folder: str) -> str:
+    return f"{module}/{folder}" if folder else module
+
+
+def extract_package(module: str, folder: str, texts: dict[str, str], folders: list[str]) -> dict[str, list[dict]]:
+    """All relations of one folder's files (path -> text); folders: those of the whole project. A package with a syntax error gives
+    its package row and the errors only; test files are listed, but not read for symbols."""
     out: dict[str, list[dict]] = {k: [] for k in ("packages", "symbols", "calls", "effects", "entities", "errors")}
-    dirs: dict[str, list[File]] = defaultdict(list)
-    for path in sorted(texts):
-        dirs[path.rsplit("/", 1)[0] if "/" in path else ""].append(parse(path, texts[path]))
-    ids = {d: f"{module}/{d}" if d else module for d in dirs}
-    for d, files in sorted(dirs.items()):
-        code = [f for f in files if not f.path.endswith("_test.go")]
-        if not code:
-            continue
-        out["packages"].append({"id": ids[d], "name": code[0].package, "dir": d or ".", "files": sorted({f.path for f in files})})
-        faults = [{"file": f.path, "message": m, "start_line": max(n, 1), "end_line": max(n, 1)} for f in code for n, m in f.source.errors]
-        if faults:
-            out["errors"] += faults
-            continue
-        for name, rows in Extractor(Package(ids[d], code, set(ids.values()))).run().items():
+    files = [parse(p, texts[p]) for p in sorted(texts)]
+    code = [f for f in files if not f.path.endswith("_test.go")]
+    if not code:
+        return out
+    pid = package_id(module, folder)
+    out["packages"].append({"id": pid, "name": code[0].package, "dir": folder or ".", "files": sorted({f.path for f in files})})
+    out["errors"] = [{"file": f.path, "message": m, "start_line": max(n, 1), "end_line": max(n, 1)} for f in code for n, m in f.source.errors]
+    if not out["errors"]:
+        for name, rows in Extractor(Package(pid, code, {package_id(module, d) for d in folders})).run().items():
             out[name] += rows
     return out
+
+
+def extract(module: str, texts: dict[str, str]) -> dict[str, list[dict]]:
+    """All relations of a module's files (relative path -> text)."""
+    dirs: dict[str, dict[str, str]] = defaultdict(dict)
+    for path, text in texts.items():
+        dirs[path.rsplit("/", 1)[0] if "/" in path else ""][path] = text
+    out: dict[str, list[dict]] = defaultdict(list)
+    for d in sorted(dirs):
+        for name, rows in extract_package(module, d, dirs[d], list(dirs)).items():
+            out[name] += rows
+    return dict(out)
