@@ -39,19 +39,22 @@ CONTENT_HASH_SQL = "SELECT doc_id, sha256(text) AS hash FROM documents"
 
 
 def merkle_fingerprint(spark, sf_dir):
-    """One hash of all paths and contents: SHA-256 of the ordered hashes of path and content.
+    """One hash of all paths and contents: SHA-256 over ordered hashes, in ranges of 4096 ids, then 4096 ranges, then all.
 
-    The last step needs all hashes in order, so they are hashed in ranges of 4096 ids first: a task sees one range's hashes."""
+    A task sees one range's hashes at a time, and the last one a sixteen-millionth of the rows."""
     leaf = F.sha2(F.concat(F.col("doc_id").cast("string").cast("binary"), F.lit(b"\0"), F.col("text").cast("binary"), F.lit(b"\0")), 256)
-    rows = table(spark, sf_dir, "documents").select("doc_id", leaf.alias("h"))
-    ranges = rows.groupBy(F.expr("doc_id div 4096").alias("r")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "h"))), lambda x: x["h"]), ""), 256).alias("h"))
-    return ranges.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "h"))), lambda x: x["h"]), ""), 256).alias("fingerprint"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("at"), leaf.alias("h"))
+    ordered = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "h"))), lambda x: x["h"]), ""), 256)
+    for _ in range(2):
+        rows = rows.groupBy(F.expr("at div 4096").alias("up")).agg(ordered.alias("h")).withColumnRenamed("up", "at")
+    return rows.agg(ordered.alias("fingerprint"))
 
 
 MERKLE_SQL = r"""
-WITH l AS (SELECT doc_id, sha256(encode(CAST(doc_id AS VARCHAR)) || '\x00'::BLOB || encode(text) || '\x00'::BLOB) AS h FROM documents),
-r AS (SELECT doc_id // 4096 AS r, sha256(string_agg(h, '' ORDER BY doc_id)) AS h FROM l GROUP BY 1)
-SELECT sha256(string_agg(h, '' ORDER BY r)) AS fingerprint FROM r"""
+WITH l AS (SELECT doc_id AS a, sha256(encode(CAST(doc_id AS VARCHAR)) || '\x00'::BLOB || encode(text) || '\x00'::BLOB) AS h FROM documents),
+r AS (SELECT a // 4096 AS a, sha256(string_agg(h, '' ORDER BY a)) AS h FROM l GROUP BY l.a // 4096),
+s AS (SELECT a // 4096 AS a, sha256(string_agg(h, '' ORDER BY a)) AS h FROM r GROUP BY r.a // 4096)
+SELECT sha256(string_agg(h, '' ORDER BY a)) AS fingerprint FROM s"""
 
 
 def scan_filter_language(spark, sf_dir):
