@@ -47,7 +47,7 @@ def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 _FIRST, _WIDTH, _CLASS_OF = _classes()
-_CLASSES = len(_FIRST)
+_CLASSES, _GROUP = len(_FIRST), 8
 
 
 class _Model:
@@ -61,8 +61,11 @@ class _Model:
         start = np.stack([1 + 12 * c2, 1 + 6 * c1, np.full(_CONF * _CONF, 24)])
         self.hits = np.repeat(start.reshape(-1, 1), lanes, axis=1).astype(np.uint64)
         self.flat_hits = self.hits.reshape(-1)
-        self.counts = np.full((_CLASSES, lanes), 2, np.uint64)
-        self.flat_counts = self.counts.reshape(-1)
+        # Counts of the classes, and of groups of _GROUP classes.
+        self.counts = np.full(_CLASSES * lanes, 2, np.uint64)
+        self.groups = np.full((_CLASSES // _GROUP, lanes), 2 * _GROUP, np.uint64)
+        self.flat_groups = self.groups.reshape(-1)
+        self.member = (np.arange(_GROUP) * lanes)[:, None]
         self.step = _CONF * _CONF * lanes
         self.live(lanes)
         self.p1, self.p2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
@@ -96,11 +99,17 @@ class _Model:
             table[at] = (conf << 16) | np.where(c > 1, guess.astype(np.uint32), x)
         self.p2, self.p1 = self.p1, ids
 
-    def class_sums(self) -> np.ndarray:
-        return np.cumsum(self.counts[:, : self.n], axis=0)
+    def group_sums(self) -> np.ndarray:
+        """Running sums of the groups' counts."""
+        return np.cumsum(self.groups[:, : self.n], axis=0)
+
+    def inside(self, rows: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """Counts of the classes in the group of each lane."""
+        return self.counts.take(self.member + (group * _GROUP * self.lanes + rows))
 
     def learn_class(self, rows: np.ndarray, cls: np.ndarray) -> None:
-        self.flat_counts[cls * self.lanes + rows] += np.uint64(8)
+        self.counts[cls * self.lanes + rows] += np.uint64(8)
+        self.flat_groups[cls // _GROUP * self.lanes + rows] += np.uint64(8)
 
 
 class _Writer:
@@ -194,8 +203,11 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         if len(rest):
             y = x[rest]
             cls = _CLASS_OF[y]
-            sums, own = m.class_sums(), m.flat_counts.take(cls * m.lanes + rest)
-            out.put(rest, sums[cls, rest] - own, own, sums[-1, rest])
+            group, at = cls // _GROUP, np.arange(len(rest))
+            sums, upto = m.group_sums(), np.cumsum(m.inside(rest, group), axis=0)
+            own = m.counts.take(cls * m.lanes + rest)
+            before = sums[group, rest] - upto[-1] + upto[cls % _GROUP, at] - own
+            out.put(rest, before, own, sums[-1].take(rest))
             out.put(rest, (y - _FIRST[cls]).astype(np.uint64), np.full(len(rest), one), _WIDTH[cls].astype(np.uint64))
             m.learn_class(rest, cls)
         m.learn(x, which)
@@ -227,11 +239,15 @@ def decode_blocks(coded: list[tuple[int, int, np.ndarray]]) -> list[np.ndarray]:
         x = np.where(which == 0, m.g2, m.g1)
         rest = np.flatnonzero(which == 2)
         if len(rest):
-            sums = m.class_sums()
-            v = inp.at(rest, sums[-1, rest])
-            cls = np.count_nonzero(sums[:, rest] <= v, axis=0)
-            own = m.flat_counts.take(cls * m.lanes + rest)
-            inp.take(rest, sums[cls, rest] - own, own)
+            sums, at = m.group_sums().take(rest, axis=1), np.arange(len(rest))
+            v = inp.at(rest, sums[-1])
+            group = (sums <= v).sum(axis=0)
+            inside = m.inside(rest, group)
+            upto = np.cumsum(inside, axis=0)
+            skip = sums[group, at] - upto[-1]
+            part = (upto <= v - skip).sum(axis=0)
+            cls, own = group * _GROUP + part, inside[part, at]
+            inp.take(rest, skip + upto[part, at] - own, own)
             width = _WIDTH[cls].astype(np.uint64)
             tail = inp.at(rest, width)
             inp.take(rest, tail, np.full(len(rest), 1, np.uint64))
@@ -282,13 +298,13 @@ _FILE = "part int, seg int, n_ids long, doc_ids array<long>, doc_lens array<long
 
 def write(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, end_id: int = 0) -> None:
     """Encode every text, append end_id to each, and write the file in ascending order of key."""
-    from terrane.llm.tokencount import CHUNK, encode_ids, tokenizer
+    from terrane.llm.tokencount import encoder
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        tok, part, seg = tokenizer(vocabulary), TaskContext.get().partitionId(), 0
-        fast = getattr(tok, "encode_batch_fast", tok.encode_batch)
+        encode, part, seg = encoder(vocabulary), TaskContext.get().partitionId(), 0
+        end = np.array([end_id], np.uint32)
         docs: list[tuple[int | None, np.ndarray]] = []
         held, open_ids = [], 0  # held: finished segments
 
@@ -302,17 +318,12 @@ def write(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", voc
 
         ready = 0
         for f in frames:
-            keys, texts = f["k"].tolist(), ["" if t is None else t for t in f["x"]]
-            for a in range(0, len(texts), 256):
-                some = texts[a : a + 256]
-                short = iter(fast([t for t in some if len(t) <= CHUNK], add_special_tokens=False))
-                for k, t in zip(keys[a : a + 256], some):
-                    ids = next(short).ids if len(t) <= CHUNK else encode_ids(tok, t)
-                    docs.append((None if k is None or k != k else int(k), np.array([*ids, end_id], np.uint32)))
-                    open_ids += len(ids) + 1
-                    if open_ids >= SEGMENT:
-                        held.append(docs)
-                        ready, docs, open_ids = ready + open_ids, [], 0
+            for k, t in zip(f["k"].tolist(), f["x"]):
+                docs.append((None if k is None or k != k else int(k), np.concatenate([encode(t or ""), end])))
+                open_ids += len(docs[-1][1])
+                if open_ids >= SEGMENT:
+                    held.append(docs)
+                    ready, docs, open_ids = ready + open_ids, [], 0
                 if ready >= TOGETHER:
                     yield flush()
                     ready = 0
