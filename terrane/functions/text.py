@@ -91,3 +91,61 @@ def label_and_summary(kind: Column, label: Column, name: Column, condition: Colu
     shows = has & (kind.isin("if", "return") | ((kind == "loop") & name.isin("range", "for")))
     text = F.when(given, label).when(kind == "else", "else").when(shows, F.concat(word, F.lit(" "), cond)).when(word.isNotNull(), word).otherwise(named(name, kind))
     return text, F.when(~given & has & kind.isin("if", "loop", "return"), cond)
+
+
+def error_position(position: Column) -> tuple[Column, Column]:
+    """Path and line of ``path:line`` or ``path:line:column``, read from the right; ("", 0) if there is no line."""
+    pattern = r"^(.*?):(\d+)(?::(\d+))?$"
+    return F.regexp_extract(position, pattern, 1), F.coalesce(F.nullif(F.regexp_extract(position, pattern, 2), F.lit("")).cast("int"), F.lit(0))
+
+
+def relative_path(root: Column, path: Column) -> Column:
+    """path below root, with slashes; other paths as they are."""
+    plain = F.translate(path, "\\", "/")
+    base = F.concat(F.rtrim(F.translate(root, "\\", "/"), F.lit("/")), F.lit("/"))
+    return F.when(F.startswith(plain, base), F.substr(plain, F.length(base) + 1)).otherwise(plain)
+
+
+def is_within_root(relative: Column) -> Column:
+    """Whether a relative path stays inside the root."""
+    return ~((relative == "..") | relative.startswith("../") | relative.startswith("/"))
+
+
+def source_lines(text: Column, start: Column, end: Column) -> Column:
+    """Numbered lines start to end of a text, joined; "" without a start."""
+    some = F.filter(F.transform(lines_of(text), lambda x, i: F.when((i + 1 >= start) & (i + 1 <= end), numbered_line(i + 1, x))), lambda x: x.isNotNull())
+    return F.when(start.isNotNull(), F.array_join(some, "\n")).otherwise("")
+
+
+#: Pixels that a character takes, narrow ones and all others: a fixed stand-in for a browser's font.
+NARROW, CHAR_WIDTH, NARROW_WIDTH = "[ijl.,:;'|!()\\[\\]1 ]", 8, 4
+
+
+def text_width(text: Column) -> Column:
+    narrow = F.size(F.split(text, NARROW, -1)) - 1
+    return F.length(text) * CHAR_WIDTH - narrow * (CHAR_WIDTH - NARROW_WIDTH)
+
+
+def wrap(text: Column, width: int) -> Column:
+    """Lines of whole words that fit the width; a longer word has a line of its own."""
+    empty = F.array().cast("array<string>")
+
+    def add(lines: Column, word: Column) -> Column:
+        longer = F.concat(F.element_at(lines, -1), F.lit(" "), word)
+        fits = (F.size(lines) > 0) & (text_width(F.coalesce(longer, F.lit(""))) <= width)
+        return F.when(fits, F.concat(F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(lines, F.array(word)))
+
+    return F.aggregate(F.array_remove(F.split(text, r"\s+"), ""), empty, lambda lines, w: F.when(F.size(lines) == 0, F.array(w)).otherwise(add(F.when(F.size(lines) == 0, F.array(F.lit(""))).otherwise(lines), w)))
+
+
+def node_size(kind: Column, label: Column) -> tuple[Column, Column]:
+    """Width and height of a node's box: width by its label, within 140 to 300 pixels (decisions 168 to 280), height by wrapped lines."""
+    low, high = F.when(kind == "decision", 168).otherwise(140), F.when(kind == "decision", 280).otherwise(300)
+    width = F.least(F.greatest(text_width(label) + 32, low), high).cast("int")
+    lines = F.when(kind == "decision", F.size(wrap(label, 280 - 32))).otherwise(F.size(wrap(label, 300 - 32)))
+    return width, (F.greatest(lines, F.lit(1)) * 18 + 26).cast("int")
+
+
+def status_text(status: Column) -> Column:
+    """What the user reads for a file's status."""
+    return F.when(status == "ready", "готово").when(status == "analyzing", "анализ").when(status == "error", "ошибка").otherwise("ожидает")
