@@ -34,6 +34,7 @@ CLASSES = HEAD_CLASSES + TAIL
 ROWS, CONTEXTS = 8192, 512  # hashed feature rows for the class; contexts for the words of head classes
 MID = 1 << 19
 ROUNDS, MINIBATCH, RATE = 2, 8192, 0.15
+SLOT_BITS = 21
 FIX = 4096.0  # steps travel as whole numbers of 1 / FIX
 _MAP = space_map()
 END, START = np.uint64(0xE1D0E1D0E1D0E1D1), np.uint64(0x57A2757A2757A275)
@@ -91,13 +92,24 @@ class Table:
     class_count: np.ndarray
     once: np.ndarray
 
-    def find(self, h: np.ndarray) -> np.ndarray:
+    def index(self) -> np.ndarray:
+        """First place of each value of the hashes' top bits: a handful of words share one."""
+        return np.searchsorted(self.h >> np.uint64(64 - SLOT_BITS), np.arange((1 << SLOT_BITS) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, h: np.ndarray, index: np.ndarray) -> np.ndarray:
         """Place in the table, or -1."""
-        if not len(self.h):
-            return np.full(len(h), -1)
-        at = np.searchsorted(self.h, h)
-        at[at == len(self.h)] = 0
-        return np.where(self.h[at] == h, at, -1)
+        out = np.full(len(h), -1, np.int64)
+        slot = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        at, end = index[slot], index[slot + 1]
+        live = np.flatnonzero(at < end)
+        at, end = at[live], end[live]
+        while len(live):
+            same = self.h[at] == h[live]
+            out[live[same]] = at[same]
+            at += 1
+            go = ~same & (at < end)
+            live, at, end = live[go], at[go], end[go]
+        return out
 
     def unknown(self) -> np.ndarray:
         """Share of unknown words in each tail class."""
@@ -130,7 +142,7 @@ def _softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _spread(rows: np.ndarray, d: np.ndarray, w: np.ndarray, acc: np.ndarray, used: np.ndarray) -> None:
     """One Adagrad step on the rows named, by the sums of d."""
-    order = np.argsort(rows, kind="stable")
+    order = np.argsort(rows.astype(np.uint16), kind="stable")  # a radix sort; rows are below 2^16
     r = rows[order]
     at = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
     g, r = np.add.reduceat(d[order], at, axis=0), r[at]
@@ -145,13 +157,13 @@ def _train(start: Weights, table: Table):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w = start.rows.copy()
         acc, used = np.zeros(len(w), np.float32), np.zeros(len(w), np.int64)
-        unit = np.arange(MINIBATCH)
+        unit, index = np.arange(MINIBATCH), table.index()
         for f in frames:
             texts = f["x"].tolist()
             for a, b in batches(texts):
                 t = Tokens(texts[a:b])
                 f1, f2, f12, ctx = _features(t)
-                at = table.find(t.h)
+                at = table.find(t.h, index)
                 member = np.where(at >= 0, table.member[at], -1) if len(table.member) else at
                 cls = np.where(member >= 0, member // MEMBERS, HEAD_CLASSES + t.tail)
                 for i in range(0, len(cls), MINIBATCH):
@@ -248,13 +260,13 @@ def _score(w: Weights, table: Table):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        rid = TaskContext.get().partitionId() << 40
+        rid, index = TaskContext.get().partitionId() << 40, table.index()
         for f in frames:
             texts = f["x"].tolist()
             for a, b in batches(texts):
                 t, m = Tokens(texts[a:b]), b - a
                 f1, f2, f12, ctx = _features(t)
-                at = table.find(t.h)
+                at = table.find(t.h, index)
                 seen = at >= 0
                 member = np.where(seen, table.member[at], -1) if len(table.member) else at
                 cls = np.where(member >= 0, member // MEMBERS, HEAD_CLASSES + t.tail)
