@@ -17,10 +17,10 @@ def symbol_clear(spark, sf_dir):
     parts = table(spark, sf_dir, "part").filter(F.col("p_size") > 10).select(F.col("p_partkey").alias("known"))
     nodes = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("symbol"))
     out = nodes.join(parts, F.col("symbol") == F.col("known"), "left")
-    return out.groupBy(F.col("known").alias("symbol")).agg(F.count("*").alias("n"), F.count_if(F.col("known").isNull()).alias("cleared"))
+    return out.groupBy(F.col("known").cast("string").alias("symbol")).agg(F.count("*").alias("n"), F.count_if(F.col("known").isNull()).alias("cleared"))
 
 
-CLEAR_SQL = """SELECT k.p_partkey AS symbol, count(*) AS n, count(*) FILTER (k.p_partkey IS NULL) AS cleared
+CLEAR_SQL = """SELECT CAST(k.p_partkey AS VARCHAR) AS symbol, count(*) AS n, count(*) FILTER (k.p_partkey IS NULL) AS cleared
 FROM lineitem LEFT JOIN (SELECT p_partkey FROM part WHERE p_size > 10) k ON l_partkey = k.p_partkey GROUP BY 1"""
 
 

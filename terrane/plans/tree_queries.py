@@ -52,7 +52,7 @@ def children_ordered(spark, sf_dir):
     """Lines of each order with their place among their siblings."""
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    return line.withColumn("ord", F.row_number().over(w))
+    return line.withColumn("ord", F.row_number().over(w).cast("long"))
 
 
 CHILDREN_SQL = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS ord FROM lineitem"
