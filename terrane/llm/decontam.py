@@ -1,7 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
 Words are lower-cased runs of letters and digits. A seed is an n-gram of a test item that chance would bring at most
-RARE times in a million corpus words, by the corpus counts of its words; each item keeps its FEWEST rarest in any case.
+RARE times in a million corpus words, or once in the corpus, by the counts of its words; each item keeps its FEWEST rarest in any case.
 So a passage that was leaked a million times still has its seeds: rarity is that of its words together, not of the
 passage. Each seed hit opens a window of about three item lengths around the item's place in the document, and local
 alignment (match 2, mismatch and gap -1) scores it; the score is a share of the best possible, 2 for each item word.
@@ -75,8 +75,8 @@ def build_index(ids: list, texts: list[str | None], counts: dict[int, int], tota
         if hi - lo < MIN_ITEM:
             continue
         g = _grams(b.hashes[lo:hi])
-        p = np.prod([share[lo + k : lo + k + len(g)] for k in range(N)], axis=0) * 1e6
-        take = np.flatnonzero(p <= RARE)
+        p = np.prod([share[lo + k : lo + k + len(g)] for k in range(N)], axis=0)
+        take = np.flatnonzero((p * 1e6 <= RARE) | (p * total <= 1))
         if len(take) < FEWEST:
             take = np.argsort(p, kind="stable")[:FEWEST]
         rows += [(int(g[j]), i, int(j)) for j in take]
