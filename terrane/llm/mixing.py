@@ -79,9 +79,9 @@ def quotas(leaves: DataFrame, mix: Mix) -> DataFrame:
     leaves = leaves.withColumn("cap", F.col("tokens") * mix.epochs)
     langs = leaves.groupBy("_d", "_l").agg(F.sum("cap").alias("cap"))
     domains = langs.groupBy("_d").agg(F.sum("cap").alias("cap"))
-    total = leaves.agg((F.sum("tokens") * F.lit(mix.share)).alias("budget"))
+    total = F.expr(f"sum(cap) over () div {mix.epochs}") * F.lit(mix.share)
     domain_weights = {name: w for name, _, w in mix.domains}
-    by_domain = _pour(domains.crossJoin(F.broadcast(total)).withColumn("_root", F.lit(0)), ["_root"], "_d", _case(F.col("_d"), domain_weights, mix.other_domain[1]))
+    by_domain = _pour(domains.withColumn("budget", total).withColumn("_root", F.lit(0)), ["_root"], "_d", _case(F.col("_d"), domain_weights, mix.other_domain[1]))
     by_lang = _pour(langs.join(by_domain.select("_d", F.col("given").alias("budget")), "_d"), ["_d"], "_l", _case(F.col("_l"), {f"={k}": w for k, w in mix.languages.items()}, mix.other_language))
     by_leaf = _pour(leaves.join(by_lang.select("_d", "_l", F.col("given").alias("budget")), ["_d", "_l"]), ["_d", "_l"], "_s", _case(F.col("_s"), {f"={k}": w for k, w in mix.sources.items()}, mix.other_source))
     quota = F.floor("given").cast("long")
