@@ -15,6 +15,7 @@ a null id is reported as null; repeated rows are reported each; empty tables giv
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -158,8 +159,13 @@ def find_in(index: Index, sieve: np.ndarray, texts: list[str | None], threshold:
             found.append((int(text[w]), int(item[w]), float(best[x]) / (MATCH * int(length[w])), first, last))
     found.sort(key=lambda r: (r[0], r[1], -r[2], r[3]))
     kept: list[tuple[int, int, float, int, int]] = []
+    spans: list[tuple[int, int]] = []  # of the item at hand, in order; none overlap
     for r in found:
-        if not any(k[:2] == r[:2] and k[3] <= r[4] and r[3] <= k[4] for k in kept[-64:]):
+        if not kept or kept[-1][:2] != r[:2]:
+            spans = []
+        k = bisect_left(spans, (r[3], r[4]))
+        if (k == 0 or spans[k - 1][1] < r[3]) and (k == len(spans) or spans[k][0] > r[4]):
+            spans.insert(k, (r[3], r[4]))
             kept.append(r)
     for t, i, score, first, last in kept:
         yield t, i, score, int(b.starts[first] - b.base[t]), int(b.ends[last] - b.base[t])

@@ -137,3 +137,13 @@ def test_pipeline(spark, odd_dir, empty_dir):
     ids = [r["doc_id"] for r in docs.collect()]
     assert ids and 101 not in ids and ids.count(300) <= 1 and 200 not in ids
     assert corpus_pipeline.run(spark, empty_dir).count() == 0
+
+
+def test_many_spans_of_one_item(spark, odd_dir):
+    from terrane.llm import decontam
+
+    items = spark.read.parquet(f"{odd_dir}/benchmark.parquet")
+    item = "a leaked riddle of nine rather rare silver words here"
+    text = " ".join(f"{item} between{i}" for i in range(150))
+    rows = decontam.leaks(spark.createDataFrame([(1, text)], "doc_id LONG, text STRING"), items).orderBy("start_byte").collect()
+    assert [text.encode()[r["start_byte"] : r["end_byte"]].decode() for r in rows] == [item] * 150
