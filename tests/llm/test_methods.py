@@ -146,10 +146,11 @@ def test_range_coder_round_trip():
 
 def test_folding_and_matching():
     assert [toxicity.fold(t) for t in ("1d10t", "$cum", "pаthеtic", "idiot$$$", "100 5")] == ["idiot", "scum", "pathetic", "idiot$$$", "100 5"]
-    m = toxicity.Model({"clown": 2.0, "clownish": 1.0}, ["clown fish"], (0.0, 0.0, 0.0))
+    m = toxicity.Model({"clown": 2.0, "clownish": 1.0, "scummy*": 3.0}, ["clown fish"], (0.0,) * 4)
     a = m.automaton()
-    assert toxicity.matches(a, "a clown, a clown fish; clowns") == (1, 2.0)
-    assert toxicity.features(a, None) == (0, 0.0)
+    assert toxicity.matches(a, "scummyish but not unscummy") == (1, 3.0, 3.0)
+    assert toxicity.matches(a, "a clown, a clown fish; clowns") == (1, 2.0, 2.0)
+    assert toxicity.features(a, None) == (0, 0.0, 0.0)
 
 
 def test_word_hashes():
