@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from terrane.llm.common import stage_dir
 
-BLOCK, SEGMENT, TOGETHER = 4096, 1 << 16, 1 << 21  # ids
+BLOCK, SEGMENT, TOGETHER = 4096, 1 << 16, 1 << 22  # ids
 MAGIC = b"TOK1"
 _TABLE_BITS = 12
 _CONF = 8  # steps of confidence of a prediction
