@@ -118,6 +118,39 @@ def test_line_classes(spark, run_limit):
     assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
 
 
+def test_long_distance():
+    rng = random.Random(13)
+    for _ in range(400):
+        a = "".join(rng.choice("abcdeé ") for _ in range(rng.randint(0, 150)))
+        b = edited(rng, a, 12)
+        for most in (0, 3, 7):
+            assert linededup.close(a, b, most) == (distance(a, b) <= most)
+
+
+@pytest.mark.parametrize("run_limit", [512, 3])
+def test_long_line_classes(spark, run_limit):
+    """A twentieth of the characters of a long line may be edited, anywhere, also at equal steps."""
+    rng = random.Random(14)
+    words = ["".join(rng.choice("abcdefghé") for _ in range(rng.randint(2, 9))) for _ in range(60)]
+    lines = []
+    for n in (57, 60, 61, 79, 80, 90, 91, 134, 135, 140, 300, 620):
+        a = "".join(rng.choice(words) + " " for _ in range(n))[:n].strip()
+        t = max(2, len(a) // 20)
+        even = list(a)
+        for i in range(t):
+            even[(i + 1) * len(a) // (t + 1)] = "#"
+        lines += [a, "".join(even), a.replace(a[20:24], "", 1), edited(rng, a, t), edited(rng, a, 2 * t), a + "x" * t, a + "x" * (t + 1), a + "y" * t]
+    lines = sorted({x.strip() for x in lines})
+    near = [(i, j) for i in range(len(lines)) for j in range(i) if abs(len(lines[i]) - len(lines[j])) <= 40 and distance(lines[i], lines[j]) <= max(2, min(len(lines[i]), len(lines[j])) // 20)]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id LONG, text STRING")
+    at = linededup.lines_of(df, "doc_id", "text")
+    roots = dict(map(tuple, simhash.components(linededup.links(at, run_limit, 4)).collect()))
+    hashes = {r["k"]: r["h"] for r in at.collect()}
+    got = [roots.get(hashes[i], hashes[i]) for i in range(len(lines))]
+    want = components_of(len(lines), near)
+    assert len(set(zip(got, want))) == len(set(got)) == len(set(want)) < len(lines)
+
+
 @pytest.mark.parametrize("chunk,overlap", [(40, 8), (200, 30)])
 def test_spliced_chunks(chunk, overlap):
     tok, rng = tokencount.tokenizer(), random.Random(5)
