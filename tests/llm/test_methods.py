@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 import xxhash
 
-from terrane.llm import linededup, mixing, simhash, tokencount, tokenfile, toxicity
+from terrane.llm import linededup, mixing, nearcopies, simhash, tokencount, tokenfile, toxicity
 from terrane.llm.wordhash import Batch, letter_map, space_map
 
 
@@ -70,6 +70,35 @@ def test_long_chain_is_one_component(spark):
     assert len(out) == 300 and set(out["root"]) == {0}
 
 
+def test_near_copies(spark):
+    """The pipeline's stage keeps no two documents whose 5-word shingles are similar to 0.8 or more."""
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    texts = []
+    for n in (3, 5, 8, 30, 100, 100, 300):
+        base = [f"w{rng.randrange(5000)}" for _ in range(n)]
+        for edits in [0, 0, *range(1, 12)]:
+            w = list(base)
+            for p in rng.sample(range(n), min(edits * n // 150 + (edits > 0), n)):
+                w[p] = f"W{rng.randrange(5000)}"
+            texts.append(" ".join(w))
+    texts += ["common passage of many words that is in each text here " + " ".join(f"v{rng.randrange(5000)}" for _ in range(40)) for _ in range(30)]
+
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))}
+
+    sets = [shingles(t) for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    fps = [simhash.fingerprint(t) for t in texts]
+    bits = [(i, j) for i in range(len(texts)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4]
+    want = set(components_of(len(texts), near + bits))
+    assert len(want) < len(set(components_of(len(texts), bits)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING")
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").collect()} == want
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):
