@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -257,12 +258,12 @@ def _score(w: Weights, table: Table):
     unknown = table.unknown()
     known_share = np.log10((1 - unknown) / np.maximum(table.class_count[HEAD_CLASSES:], 1))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         rid, index = TaskContext.get().partitionId() << 40, table.index()
         for f in frames:
-            texts = f["x"].tolist()
+            texts = f.column(1).to_pylist()
             for a, b in batches(texts):
                 t, m = Tokens(texts[a:b]), b - a
                 f1, f2, f12, ctx = _features(t)
@@ -289,7 +290,7 @@ def _score(w: Weights, table: Table):
                 base = np.where(seen, np.log10(c + 1.0), 0.0) - log_total
                 n = np.bincount(t.text, minlength=m)
                 out = {
-                    "k": f["k"].iloc[a:b].to_numpy(),
+                    "k": f.column(0).slice(a, m),
                     "rid": rid + np.arange(m),
                     "n_tokens": n,
                     "n_known": np.bincount(t.text[seen], minlength=m),
@@ -302,10 +303,10 @@ def _score(w: Weights, table: Table):
                 h, x = t.h[order], t.text[order]
                 new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (x[1:] != x[:-1])])) if len(order) else np.empty(0, np.int64)
                 count = np.diff(np.append(new, len(order)))
-                cut = np.searchsorted(x[new], np.arange(1, m))
+                cut = pa.array(np.searchsorted(x[new], np.arange(m + 1)).astype(np.int32))
                 for name, values in (("rare", h[new].view(np.int64)), ("tails", t.tail[order][new].astype(np.int32)), ("times", count.astype(np.int32))):
-                    out[name] = pd.Series(np.split(values, cut), dtype=object)
-                yield pd.DataFrame(out)
+                    out[name] = pa.ListArray.from_arrays(cut, pa.array(values))
+                yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in out.values()], list(out))
 
     return run
 
@@ -318,7 +319,7 @@ def scores(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text", r
     table = table_of(words)
     weights = train(training, table, rounds)
     kind = docs.schema[key].dataType.simpleString()
-    part = settle(rows.mapInPandas(_score(weights, table), f"k {kind}, rid long, n_tokens long, n_known long, base double, score double, rare array<long>, tails array<int>, times array<int>"), "lm-scored")
+    part = settle(rows.mapInArrow(_score(weights, table), f"k {kind}, rid long, n_tokens long, n_known long, base double, score double, rare array<long>, tails array<int>, times array<int>"), "lm-scored")
 
     rare = part.select("rid", F.explode(F.arrays_zip("rare", "tails", "times")).alias("r")).select("rid", F.col("r.rare").alias("h"), F.col("r.tails").alias("t"), F.col("r.times").alias("n"))
     joined = rare.join(words.filter(F.col("c") < table.least).select("h", "c"), "h", "left")

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -53,12 +54,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """k (the key), fp (signed long)."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in frames:
-            yield pd.DataFrame({"k": f["k"], "fp": np.array([fingerprint(t, shingle) for t in f["x"]], np.uint64).astype(np.int64)})
+            fps = np.array([fingerprint(t, shingle) for t in f.column(1).to_pylist()], np.uint64).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([f.column(0), pa.array(fps)], ["k", "fp"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("k"), F.col(text).alias("x")).mapInPandas(run, f"k {kind}, fp long")
+    return df.select(F.col(key).alias("k"), F.col(text).alias("x")).mapInArrow(run, f"k {kind}, fp long")
 
 
 def masks(radius: int = RADIUS) -> list[int]:

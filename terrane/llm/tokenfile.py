@@ -24,7 +24,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -300,7 +300,7 @@ def write(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", voc
     """Encode every text, append end_id to each, and write the file in ascending order of key."""
     from terrane.llm.tokencount import encoder
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encode, part, seg = encoder(vocabulary), TaskContext.get().partitionId(), 0
@@ -308,18 +308,20 @@ def write(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", voc
         docs: list[tuple[int | None, np.ndarray]] = []
         held, open_ids = [], 0  # held: finished segments
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             nonlocal held, seg
             bodies = pack([np.concatenate([x for _, x in s]) for s in held])
-            rows = [(part, seg + i, sum(len(x) for _, x in s), [k for k, _ in s], [len(x) for _, x in s], body) for i, (s, body) in enumerate(zip(held, bodies))]
-            seg += len(held)
+            n = len(held)
+            columns = [[part] * n, range(seg, seg + n), [sum(len(x) for _, x in s) for s in held], [[k for k, _ in s] for s in held], [[len(x) for _, x in s] for s in held], bodies]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+            seg += n
             held = []
-            return pd.DataFrame(rows, columns=["part", "seg", "n_ids", "doc_ids", "doc_lens", "body"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["part", "seg", "n_ids", "doc_ids", "doc_lens", "body"])
 
         ready = 0
         for f in frames:
-            for k, t in zip(f["k"].tolist(), f["x"]):
-                docs.append((None if k is None or k != k else int(k), np.concatenate([encode(t or ""), end])))
+            for k, t in zip(f.column(0).to_pylist(), f.column(1).to_pylist()):
+                docs.append((k, np.concatenate([encode(t or ""), end])))
                 open_ids += len(docs[-1][1])
                 if open_ids >= SEGMENT:
                     held.append(docs)
@@ -335,7 +337,7 @@ def write(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", voc
     rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("x"))
     # Rows with one key are dealt by their text, so a key held by many rows isn't one task.
     dealt = rows.withColumn("h", F.xxhash64("x")).repartitionByRange("k", "h").sortWithinPartitions("k", "h", "x").select("k", "x")
-    dealt.mapInPandas(run, _FILE).write.parquet(path)
+    dealt.mapInArrow(run, _FILE).write.parquet(path)
 
 
 def read(spark, path: str, key: str = "doc_id") -> DataFrame:
@@ -347,31 +349,31 @@ def read(spark, path: str, key: str = "doc_id") -> DataFrame:
     segs = rows.select("part", "seg", "n_ids").withColumn("before", F.sum("n_ids").over(W.partitionBy("part").orderBy("seg")) - F.col("n_ids"))
     places = segs.join(parts, "part").select("part", "seg", (F.col("before") + F.col("before_part")).alias("base"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def digest(held: list) -> pd.DataFrame:
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def digest(held: list) -> pa.RecordBatch:
             out = []
-            for r, ids in zip(held, unpack([r.body for r in held])):
-                at = 0
-                for k, n in zip(r.doc_ids, r.doc_lens):
-                    n = int(n)
-                    out.append((r.part, r.seg, None if k is None or k != k else int(k), at, n, zlib.crc32(np.ascontiguousarray(ids[at : at + n], "<u4").tobytes())))
-                    at += n
-                if at != len(ids) or at != r.n_ids:
+            for (part, seg, n, doc_ids, doc_lens, _), ids in zip(held, unpack([r[5] for r in held])):
+                raw, at = memoryview(np.ascontiguousarray(ids, "<u4").tobytes()), 0
+                for k, size in zip(doc_ids, doc_lens):
+                    out.append((part, seg, k, at, size, zlib.crc32(raw[4 * at : 4 * (at + size)])))
+                    at += size
+                if at != len(ids) or at != n:
                     raise ValueError("a segment's documents and ids don't agree")
-            return pd.DataFrame(out, columns=["part", "seg", "k", "at", "n_tokens", "ids_crc32"]).astype({"k": "Int64"})
+            kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["part", "seg", "k", "at", "n_tokens", "ids_crc32"])
 
         held, size = [], 0
         for f in frames:
-            for r in f.itertuples(index=False):
+            for r in zip(*(c.to_pylist() for c in f.columns)):
                 held.append(r)
-                size += r.n_ids
+                size += r[2]
                 if size >= TOGETHER:
                     yield digest(held)
                     held, size = [], 0
         if held:
             yield digest(held)
 
-    docs = rows.mapInPandas(run, "part int, seg int, k long, at long, n_tokens long, ids_crc32 long")
+    docs = rows.mapInArrow(run, "part int, seg int, k long, at long, n_tokens long, ids_crc32 long")
     return docs.join(places, ["part", "seg"]).select(F.col("k").alias(key), (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "part", "seg")
 
 
