@@ -115,8 +115,7 @@ def _op2_sql(mix: mixing.Mix = MIX) -> str:
     weights = {n: w for n, _, w in mix.domains}
     return rf"""
 WITH r AS (SELECT doc_id, {domain} AS domain, lang, source, coalesce('=' || lang, '') AS l, coalesce('=' || source, '') AS s,
-    CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
-]+'), lambda x: x <> '')) AS BIGINT) AS tokens FROM documents),
+    CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS tokens FROM documents),
 leaf AS (SELECT domain, l, s, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(tokens) * {mix.epochs} AS BIGINT) AS cap FROM r GROUP BY ALL),
 lng AS (SELECT domain, l, CAST(sum(cap) AS BIGINT) AS cap FROM leaf GROUP BY ALL),
 dom AS (SELECT domain, CAST(sum(cap) AS BIGINT) AS cap, (SELECT CAST(sum(tokens) AS DOUBLE) * {mix.share} FROM leaf) AS budget FROM lng GROUP BY ALL),
