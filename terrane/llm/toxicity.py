@@ -1,10 +1,10 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick over folded text, normalised by length.
 
 Folding: NFKC, lower case, accents off, letters that look like Latin ones replaced, and digits and signs that stand for
-letters read as such where a letter is beside them (a sign only before one, so closing punctuation stays).
+letters read as such where a letter is beside them (a sign only before one, so closing punctuation stays); runs of white space are one blank.
 Learning (labelled rows only; FIT_ROWS of them at most, those with the smallest seeded hash): a word's support is the number of
 different neighbour pairs it has in toxic texts, so copies of one text count once. Words of SUPPORT pairs and a log-odds
-of MIN_ODDS against clean texts are the lexicon, weighted by it, LEXICON terms at most. A stem (the first STEMS letters of words,
+of MIN_ODDS against clean texts are the lexicon, weighted by it; nothing else bounds it but FIT_ROWS. A stem (the first STEMS letters of words,
 written with a star) is a term like a word, from STEM_SUPPORT pairs on; a word counts for its heaviest term alone. Two-word phrases with a lexicon word
 that clean texts hold more often than toxic ones are exceptions: a match inside one doesn't count. The sum of weights for each 100
 words and the number of matches, as logarithms, and the largest weight go through a logistic curve fitted on the same rows.
@@ -24,11 +24,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FIT_ROWS, SEED = 20_000, 5
-SUPPORT, MIN_ODDS, MAX_ODDS, LEXICON = 5, 2.0, 9.0, 20_000
+SUPPORT, MIN_ODDS, MAX_ODDS = 5, 2.0, 9.0
 EXCEPTION_SUPPORT = 3
 STEMS, STEM_SUPPORT, STEM_ODDS = range(4, 11), 20, 3.0
 
@@ -60,7 +61,7 @@ def fold(text: str | None) -> str:
         text = text.lower()
     if _NEEDS.search(text):
         text = _SUBSTITUTE.sub(lambda m: _LETTERS[m[0]], text)
-    return text
+    return " ".join(text.split())
 
 
 @dataclass
@@ -120,10 +121,10 @@ def features(automaton, text: str | None) -> tuple[int, float, float]:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, learn, rows: int) -> DataFrame:
-    """x, y of the labelled rows to learn from; the labels' side is bounded by rows, so it may be broadcast."""
+    """x, y of the labelled documents to learn from, one for each key however often it is repeated; the labels' side is bounded by rows, so it may be broadcast."""
     y = labels.select(F.col(key).alias("k"), F.col(label).alias("y")).filter(learn(F.col("k")) & F.col("y").isin(0, 1))
     y = y.groupBy("k").agg(F.max("y").cast("int").alias("y")).orderBy(F.xxhash64(F.lit(SEED), "k"), "k").limit(rows)
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("x")).join(F.broadcast(y), "k").select("x", "y")
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("x")).join(F.broadcast(y), "k").groupBy("k").agg(F.min(F.struct("x", "y")).alias("r")).select("r.x", "r.y")
 
 
 def terms_of(word: str) -> list[str]:
@@ -163,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, key: str = "doc_id", text: st
 
     sample = settle(_sample(docs, labels, key, text, label, learn, rows), "toxicity-sample")
     support = sample.filter("y = 1").select("x").mapInPandas(_toxic_contexts, "w string, c string").distinct().groupBy("w").count()
-    toxic = {r["w"]: r["count"] for r in support.filter(F.col("count") >= SUPPORT).orderBy(F.desc("count"), "w").limit(LEXICON).collect()}
+    toxic = {r["w"]: r["count"] for r in support.filter(F.col("count") >= SUPPORT).collect()}
     words = spark.sparkContext.broadcast(frozenset(toxic))
 
     def clean_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -195,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, key: str = "doc_id", text: st
     exceptions = []
     if lexicon:
         found = sample.mapInPandas(phrases, "p string, clean long, toxic long").groupBy("p").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-        exceptions = [r["p"] for r in found.filter((F.col("clean") >= EXCEPTION_SUPPORT) & (F.col("clean") > 2 * F.col("toxic"))).orderBy(F.desc("clean"), "p").limit(LEXICON).collect()]
+        exceptions = [r["p"] for r in found.filter((F.col("clean") >= EXCEPTION_SUPPORT) & (F.col("clean") > 2 * F.col("toxic"))).orderBy("p").collect()]
     model = Model(lexicon, exceptions, (0.0,) * 4)
 
     def measured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -231,15 +232,15 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     """key, n_matches, score of each row; the score depends on the text alone."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         a = m.automaton()
         b0, b1, b2, b3 = m.curve
         for f in frames:
-            rows = [features(a, x) for x in f["x"]]
+            rows = [features(a, x) for x in f.column(1).to_pylist()]
             z = np.array([b0 + b1 * w + b2 * v + b3 * np.log1p(n) for n, w, v in rows], np.float64)
-            yield pd.DataFrame({"k": f["k"], "n_matches": [n for n, _, _ in rows], "score": 1 / (1 + np.exp(-z))})
+            yield pa.RecordBatch.from_arrays([f.column(0), pa.array([n for n, _, _ in rows], pa.int64()), pa.array(1 / (1 + np.exp(-z)))], ["k", "n_matches", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("x"))
-    return rows.mapInPandas(run, f"k {kind}, n_matches long, score double").withColumnRenamed("k", key)
+    return rows.mapInArrow(run, f"k {kind}, n_matches long, score double").withColumnRenamed("k", key)
