@@ -140,7 +140,7 @@ def test_line_classes(spark, run_limit):
     near = [(i, j) for i in range(len(lines)) for j in range(i) if abs(size[i] - size[j]) <= 2 and (t := int(linededup.threshold(min(size[i], size[j])))) and distance(lines[i], lines[j]) <= t]
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id LONG, text STRING")
     at = linededup.lines_of(df, "doc_id", "text")
-    roots = dict(map(tuple, simhash.components(linededup.links(at, run_limit, 8)).collect()))
+    roots = dict(map(tuple, simhash.components(linededup.links(at, run_limit=run_limit, block=8)).collect()))
     hashes = {r["k"]: r["h"] for r in at.collect()}
     got = [roots.get(hashes[i], hashes[i]) for i in range(len(lines))]
     want = components_of(len(lines), near)
@@ -173,7 +173,7 @@ def test_long_line_classes(spark, run_limit):
     near = [(i, j) for i in range(len(lines)) for j in range(i) if abs(len(lines[i]) - len(lines[j])) <= 40 and distance(lines[i], lines[j]) <= max(2, min(len(lines[i]), len(lines[j])) // 20)]
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id LONG, text STRING")
     at = linededup.lines_of(df, "doc_id", "text")
-    roots = dict(map(tuple, simhash.components(linededup.links(at, run_limit, 4)).collect()))
+    roots = dict(map(tuple, simhash.components(linededup.links(at, run_limit=run_limit, block=4)).collect()))
     hashes = {r["k"]: r["h"] for r in at.collect()}
     got = [roots.get(hashes[i], hashes[i]) for i in range(len(lines))]
     want = components_of(len(lines), near)
@@ -213,6 +213,7 @@ def test_folding_and_matching():
     assert toxicity.matches(a, "scummyish but not unscummy") == (1, 3.0, 3.0)
     assert toxicity.matches(a, "a clown, a clown fish; clowns") == (1, 2.0, 2.0)
     assert toxicity.features(a, None) == (0, 0.0, 0.0)
+    assert toxicity.features(a, "a clown\nfish, a clown \t fish and clown  fishes")[0] == 1
 
 
 def test_word_hashes():

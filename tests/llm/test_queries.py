@@ -23,9 +23,23 @@ def test_empty_tables(spark, empty_dir, name):
 
 
 @pytest.mark.parametrize("name", [n for n in NAMES if not n.startswith(("op2", "op4"))])
-def test_one_row_for_each_document(spark, odd_dir, name):
-    got = Counter(r["doc_id"] for r in queries.QUERIES[name](spark, odd_dir).select("doc_id").collect())
-    assert got == Counter(d[0] for d in docs(spark, odd_dir))
+def test_one_row_for_each_document(spark, odd_dir, wide_dir, name):
+    for where in (odd_dir, wide_dir):
+        got = Counter(r["doc_id"] for r in queries.QUERIES[name](spark, where).select("doc_id").collect())
+        assert got == Counter(d[0] for d in docs(spark, where))
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_sql_twins(spark, odd_dir, wide_dir, name):
+    import duckdb
+
+    for where in (odd_dir, wide_dir):
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW documents AS FROM read_parquet('{where}/documents.parquet/*.parquet')")
+        want = con.sql(queries.ORACLES[name])
+        names = sorted(want.columns)
+        got = Counter(tuple(r[c] for c in names) for r in queries.QUERIES[name](spark, where).collect())
+        assert got == Counter(tuple(r[want.columns.index(c)] for c in names) for r in want.fetchall())
 
 
 def test_op1(spark, odd_dir):
@@ -96,6 +110,58 @@ def test_op6_sums(spark, odd_dir):
     assert empty["n_tokens"] == 1 and empty["n_known"] == 1
 
 
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(row[j + 1] + 1, new[j] + 1, row[j] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_op7_columns(spark, tmp_path):
+    """Every column against all pairs of lines: the first line of each class, by id and place, stays; an edited line is found."""
+    import random
+
+    from terrane.llm.linededup import threshold
+
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(80)]
+    lines = [" ".join(rng.choice(words) for _ in range(n)) for n in (1, 2, 3, 4, 6, 9, 14, 25) for _ in range(4)]
+    for x in list(lines):
+        y = list(x)
+        for _ in range(max(1, len(x) // 25)):
+            y[rng.randrange(len(y))] = "z"
+        lines.append("".join(y))
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 5))) + "\n  \n") for i in range(30)]
+    rows += [(40, "one line of it\n\none line of it\nand the end")] * 2 + [(41, None), (42, ""), (None, lines[-1] + "\nlast of all")]
+    spark.createDataFrame(rows, "doc_id LONG, text STRING").write.parquet(f"{tmp_path}/documents.parquet")
+    at = [(k is None, k or 0, n, x.strip()) for k, t in dict.fromkeys(rows) for n, x in enumerate((t or "").split("\n")) if x.strip()]
+    at.sort()
+    parent = list(range(len(at)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(at)):
+        for j in range(i):
+            a, b = at[i][3], at[j][3]
+            if a == b or abs(len(a) - len(b)) <= (t := int(threshold(min(len(a), len(b))))) and _edits(a, b) <= t:
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    gone = {(p[:2], p[2]) for i, p in enumerate(at) if find(i) != i}
+    want = Counter()
+    for k, t in rows:
+        mine = [p for p in at if p[:2] == (k is None, k or 0)]
+        dropped = tuple(p[2] for p in mine if (p[:2], p[2]) in gone)
+        want[k, len(mine), len(dropped), dropped] += 1
+    assert Counter((r["doc_id"], r["n_lines"], r["n_dropped"], tuple(r["dropped"])) for r in queries.op7_line_dedup(spark, str(tmp_path)).collect()) == want
+    assert sum(n for _, _, n, _ in want) > 20
+
+
 def test_op8_scores(spark, odd_dir):
     for r in queries.op8_toxicity(spark, odd_dir).collect():
         assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3)
