@@ -4,10 +4,16 @@ Two texts are linked if their sets of SHINGLE-word shingles (words lower-cased A
 have a Jaccard similarity of 0.8 at least, or if their fingerprints are (see simhash). Each text gives its smallest shingle
 hashes, so many that a fifth of its shingles cannot hold them all: any pair of that similarity shares one. Shingles that are
 frequent in a sample come last in that order, whatever the sample: order decides only how many texts meet. Who meets in a key is
-first compared with the key's smallest document; then whoever is in another component still. All pairs are verified on whole sets.
+first compared with the key's first document, then with its last; then whoever is in another component still. A pair is sifted by
+counts of its shingles in BUCKETS buckets, whose difference is at most that of the sets, before any text moves; what is left is
+verified on whole sets.
 
-Defined results: of a component the row with the smallest key stays; a null key takes no part and stays; of rows with one key one
-stays; equal texts are one node; an empty table gives no rows.
+Texts, not keys, are the nodes: equal texts are one node (told apart by 64-bit hashes, and of the HEAVY texts with most copies only
+one copy is read), and texts that share a key are compared like others.
+
+Defined results: of a component the row with the smallest key, then the smallest hash of the text, stays; a null key takes no part
+and stays; of rows with equal key and text the one with the smallest hash over all columns that have one stays; different texts
+of one key stay if nothing is similar to them; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +31,8 @@ from terrane.llm.common import settle
 from terrane.llm.wordhash import Batch, batches, mix, space_map
 
 SHINGLE = 5
+BUCKETS, RUN, BLOCK = 128, 256, 1024
+HEAVY = 1 << 17  # texts with most copies, sent to all machines
 SAMPLE, OFTEN, FREQUENT = 5000, 3, 1 << 16  # documents looked at for frequent shingles; times seen; how many of them at most
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -81,8 +89,41 @@ def _shingles(docs: DataFrame, frequent: np.ndarray | None) -> DataFrame:
     return docs.mapInPandas(run, "key long, k long, n int")
 
 
+def _sketches(docs: DataFrame) -> DataFrame:
+    """k, s: how many shingles of the text fall into each bucket, 255 at most."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found = [np.minimum(np.bincount((h % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes() for h in shingle_sets(f["x"].tolist())]
+            yield pd.DataFrame({"k": f["k"], "s": pd.Series(found, dtype=object)})
+
+    return docs.mapInPandas(run, "k long, s binary")
+
+
+def _matrix(s: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(map(bytes, s)), np.uint8).reshape(-1, BUCKETS)
+
+
+def _may(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether sets with these sketches and n shingles together can have the similarity: their difference is a ninth of n at most."""
+    gap = np.maximum(x, y) - np.minimum(x, y)
+    return 9 * gap.sum(axis=1, dtype=np.int64) <= n
+
+
+def _sifted(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """pairs: a, b, ca, cb, nn (shingles of both), without those whose sketches differ too much."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f[_may(_matrix(f["x"]), _matrix(f["y"]), f["nn"].to_numpy())][["a", "b", "ca", "cb"]]
+
+    pairs = settle(pairs.distinct(), "near-pairs")
+    x, y = sketches.select(F.col("k").alias("a"), F.col("s").alias("x")), sketches.select(F.col("k").alias("b"), F.col("s").alias("y"))
+    return settle(pairs.join(x, "a").join(y, "b").mapInPandas(run, "a long, b long, ca long, cb long"), "near-sifted")
+
+
 def _similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """pairs: a, b (keys), ca, cb (their components). (a, b): components of the pairs whose similarity is 0.8 at least."""
+    """pairs: a, b (nodes), ca, cb (their components). (a, b): components of the pairs whose similarity is 0.8 at least."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -92,9 +133,8 @@ def _similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 ok.append(both > 0 and 5 * both >= 4 * (len(p) + len(q) - both))
             yield pd.DataFrame({"a": f["ca"][ok], "b": f["cb"][ok]})
 
-    pairs = settle(pairs.distinct(), "near-pairs")
     wanted = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
-    texts = settle(docs.join(wanted, "k", "left_semi"), "near-texts")
+    texts = settle(docs.join(wanted, "k", "left_semi").dropDuplicates(["k"]), "near-texts")
     rows = pairs.join(texts.withColumnsRenamed({"k": "a"}), "a").join(texts.withColumnsRenamed({"k": "b", "x": "y"}), "b")
     return settle(rows.select("ca", "cb", "x", "y").mapInPandas(run, "a long, b long").distinct(), "near-links")
 
@@ -104,39 +144,108 @@ def _relabelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.join(roots, rows["c"] == roots["node"], "left").withColumn("c", F.coalesce("root", "c")).drop("node", "root")
 
 
-def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """k, c (the smallest key reachable) for every key that isn't null."""
-    docs = df.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).alias("x"))
+def _run_pairs(f: pd.DataFrame) -> pd.DataFrame:
+    """Pairs (a, b, ca, cb) among rows (key sorted, k, n, c, s) of whole keys that are in different components and pass the sieve."""
+    key, k, n, c = (f[x].to_numpy() for x in ("key", "k", "n", "c"))
+    s = _matrix(f["s"])
+    last, place, out = np.searchsorted(key, key, side="right"), np.arange(len(key)), []
+    d, live = 1, np.flatnonzero(last - place > 1)
+    while len(live):
+        x, y = live, live + d
+        ok = (c[x] != c[y]) & (5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y]))
+        x, y = x[ok], y[ok]
+        for i in range(0, len(x), 1 << 14):
+            u, v = x[i : i + (1 << 14)], y[i : i + (1 << 14)]
+            good = _may(s[u], s[v], n[u] + n[v])
+            out.append(np.stack([u[good], v[good]]))
+        d += 1
+        live = live[last[live] - live > d]
+    x, y = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
+    swap = k[x] > k[y]
+    x, y = np.where(swap, y, x), np.where(swap, x, y)
+    return pd.DataFrame({"a": k[x], "b": k[y], "ca": c[x], "cb": c[y]}).drop_duplicates()
+
+
+def _stream(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held, size = [], 0
+    for f in frames:
+        held.append(f)
+        size += len(f)
+        if size >= 1 << 15:
+            whole = pd.concat(held, ignore_index=True)
+            open_key = (whole["key"] == whole["key"].iloc[-1]).to_numpy()
+            yield _run_pairs(whole[~open_key])
+            held, size = [whole[open_key]], int(open_key.sum())
+    if held:
+        yield _run_pairs(pd.concat(held, ignore_index=True))
+
+
+def _all_pairs(rest: DataFrame, run_limit: int, block: int) -> DataFrame:
+    """rest: key, k, n, c, s, m (rows of the key). Pairs that pass the sieve; crowded keys are dealt out in pairs of blocks."""
+    names = ["key", "k", "n", "c", "s"]
+    pairs = rest.filter(F.col("m") <= run_limit).select(names).repartition("key").sortWithinPartitions("key").mapInPandas(_stream, "a long, b long, ca long, cb long")
+    crowd = rest.filter(F.col("m") > run_limit)
+    if not crowd.isEmpty():
+        blocks = F.ceil(F.col("m") / block).cast("int")
+        dealt = crowd.withColumn("i", F.pmod(F.xxhash64("k"), blocks).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        dealt = dealt.select(*names, F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
+        pairs = pairs.unionByName(dealt.groupBy("key", "lo", "hi").applyInPandas(lambda f: _run_pairs(f[names]), "a long, b long, ca long, cb long"))
+    return settle(settle(pairs, "near-all").distinct(), "near-rest")
+
+
+def classes(docs: DataFrame, run_limit: int = RUN, block: int = BLOCK) -> DataFrame:
+    """docs: k (the text's hash), x; copies allowed. k, c (the smallest hash reachable) of every text."""
     found = settle(simhash.classes(docs, "k", "x").select("k", F.col("component_id").alias("c")).distinct(), "near-simhash")
-    once = docs.select("k", F.xxhash64("x").alias("h")).groupBy("h").agg(F.min("k").alias("k")).select("k").distinct()
-    nodes = settle(found.join(once, "k"), "near-nodes")
     every = max(found.count() // SAMPLE, 1)
-    sample = docs.filter(F.pmod(F.xxhash64("k"), F.lit(every)) == 0)
-    often = _shingles(sample, None).groupBy("key").count().filter(F.col("count") >= OFTEN).orderBy(F.desc("count"), "key").limit(FREQUENT)
-    frequent = np.sort(np.array([r["key"] for r in often.collect()], np.int64)).view(np.uint64)
+    sample = docs.filter(F.pmod("k", F.lit(every)) == 0)
+    often = _shingles(sample, None).distinct().groupBy("key").count().filter(F.col("count") >= OFTEN).orderBy(F.desc("count"), "key").limit(FREQUENT)
+    frequent = np.sort(np.array([r["key"] for r in often.collect()], np.int64).view(np.uint64))
     by = W.partitionBy("key")
     met = _shingles(docs, frequent).withColumn("lo", F.min("k").over(by)).withColumn("hi", F.max("k").over(by)).filter("lo <> hi").drop("lo", "hi")
-    met = settle(met.distinct(), "near-met").join(nodes, "k")
+    met = settle(met.distinct(), "near-met").join(found, "k")
 
     def open_keys(rows: DataFrame) -> DataFrame:
-        return settle(rows.withColumn("lo", F.min("c").over(by)).withColumn("hi", F.max("c").over(by)).filter("lo <> hi").drop("lo", "hi"), "near-open")
-
-    met = open_keys(met)
-    size = "5 * least(n, m) >= 4 * greatest(n, m)"
-    least = met.groupBy("key").agg(F.min(F.struct("k", "n", "c")).alias("s")).select("key", F.col("s.k").alias("b"), F.col("s.n").alias("m"), F.col("s.c").alias("cb"))
-    pairs = met.join(least, "key").filter(f"c <> cb and {size}").select(F.col("k").alias("a"), "b", F.col("c").alias("ca"), "cb")
-    first = _similar(pairs, docs)
-    rest = open_keys(_relabelled(met, first))
-    other = rest.select("key", F.col("k").alias("b"), F.col("n").alias("m"), F.col("c").alias("cb"))
-    pairs = rest.join(other, "key").filter(f"k < b and c <> cb and {size}").select(F.col("k").alias("a"), "b", F.col("c").alias("ca"), "cb")
-    return _relabelled(found, first.unionByName(_similar(pairs, docs)))
+        kept = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi").select("key", "m")
+        return settle(rows.drop("m").join(settle(kept, "near-open-keys"), "key"), "near-open")
+
+    met = open_keys(settle(met, "near-met-in"))
+    if met.isEmpty():
+        return found
+    sketches = settle(_sketches(docs.join(met.select("k").distinct(), "k", "left_semi")).dropDuplicates(["k"]), "near-sketches")
+    size = "5 * least(n, nb) >= 4 * greatest(n, nb)"
+    links = []
+    for end in (F.min, F.max):
+        head = met.groupBy("key").agg(end(F.struct("k", "n", "c")).alias("s")).select("key", F.col("s.k").alias("kb"), F.col("s.n").alias("nb"), F.col("s.c").alias("cb"))
+        pairs = met.join(head, "key").filter(f"c <> cb and {size}")
+        pairs = pairs.select(F.least("k", "kb").alias("a"), F.greatest("k", "kb").alias("b"), F.least("c", "cb").alias("ca"), F.greatest("c", "cb").alias("cb"), (F.col("n") + F.col("nb")).alias("nn"))
+        links.append(_similar(_sifted(pairs, sketches), docs))
+        met = open_keys(_relabelled(met, links[-1]))
+    if not met.isEmpty():
+        links.append(_similar(_all_pairs(met.join(sketches, "k"), run_limit, block), docs))
+    edges = links[0]
+    for e in links[1:]:
+        edges = edges.unionByName(e)
+    return _relabelled(found, edges)
 
 
 def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """df without the rows whose component has a smaller key; rows with a null key stay; of rows with one key one stays."""
-    found = settle(classes(df.select(key, text), key, text), "near-classes")
-    gone = settle(found.filter("k <> c").select(F.col("k").alias("_k")), "near-gone")
-    out = df.join(gone, df[key] == gone["_k"], "left_anti")
-    if df.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1").isEmpty():
+    """df with one row of each component, as defined above, and the rows with a null key."""
+    names = df.columns
+    h, id_ = F.xxhash64(F.col(text)), F.col(key)
+    rows = settle(df.filter(id_.isNotNull()).select(id_.alias("i"), h.alias("k")), "near-rows")
+    copies = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("p")).filter("n > 1").orderBy(F.desc("n"), "k").limit(HEAVY)
+    docs = df.filter(id_.isNotNull()).select(id_.alias("i"), h.alias("k"), F.col(text).alias("x")).join(F.broadcast(copies.select("k", "p")), "k", "left")
+    found = settle(classes(docs.filter("p is null or i = p").select("k", "x")), "near-classes")
+    placed = settle(rows.join(found, "k").select("i", "k", "c"), "near-placed")
+    first = settle(placed.groupBy("c").agg(F.min(F.struct("i", "k")).alias("p")), "near-firsts")
+    gone = placed.join(first, "c").filter("p.i <> i or p.k <> k").select(F.col("i").alias("_i"), F.col("k").alias("_k")).distinct()
+    gone = settle(gone, "near-gone")
+    out = df.join(gone, (id_ == gone["_i"]) & (h == gone["_k"]), "left_anti")
+    repeated = settle(rows.groupBy("i", "k").count().filter("count > 1").select(F.col("i").alias("_i"), F.col("k").alias("_k")), "near-repeated")
+    if repeated.isEmpty():
         return out
-    return out.filter(F.col(key).isNull()).unionByName(out.filter(F.col(key).isNotNull()).dropDuplicates([key]))
+    again = (id_ == repeated["_i"]) & (h == repeated["_k"])
+    plain = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    whole = F.struct(*(F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(names)))
+    some = out.join(repeated, again, "left_semi").groupBy(id_.alias("_i"), h.alias("_k")).agg(F.min_by(whole, F.xxhash64(*plain)).alias("_row"))
+    return out.join(repeated, again, "left_anti").unionByName(some.select(*(F.col(f"_row.c{n}").alias(c) for n, c in enumerate(names))))

@@ -6,8 +6,8 @@ less than the whole space, so some v is orthogonal to all of them, and its table
 differs: every pair within the radius shares a key in some table, with no chance involved.
 
 Equal fingerprints are one node, so copies cost nothing beyond their fingerprint. Nodes that share a key are compared
-in a stream sorted by key; what leaves is a spanning forest, never all pairs. A key shared by more than RUN nodes is dealt
-out by pairs of blocks, so no task holds it whole. Components come from alternating stars over tables on the shared
+in a stream sorted by key; what leaves is a spanning forest, never all pairs. Keys are counted with partial sums first: one shared
+by more than RUN nodes is dealt out by pairs of blocks, so no task holds it whole. Components come from alternating stars over tables on the shared
 folder; nothing is collected.
 
 Defined results: a text without words has fingerprint zero; a null id is fingerprinted, but takes no part in linking and has
@@ -22,7 +22,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrane.llm.common import settle
@@ -111,23 +110,17 @@ def _near_runs(bk: np.ndarray, fp: np.ndarray, rep: np.ndarray, radius: int) ->
     return forest(np.concatenate(out_a), np.concatenate(out_b))
 
 
-def _stream(radius: int, run_limit: int):
-    """Sorted (bk, fp, rep, n) rows to forest edges (a, b); rows of crowded keys go on as they are (bk, fp, rep, n)."""
+def _stream(radius: int):
+    """Sorted (bk, fp, rep) rows to forest edges (a, b)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
 
         def edges(f: pd.DataFrame) -> pd.DataFrame:
             a, b = _near_runs(f["bk"].to_numpy(), f["fp"].to_numpy().view(np.uint64), f["rep"].to_numpy(), radius)
-            return pd.DataFrame({"bk": np.zeros(len(a), np.int64), "fp": a, "rep": b, "n": np.zeros(len(a), np.int64)})
+            return pd.DataFrame({"a": a, "b": b})
 
         for f in frames:
-            crowd = f[f["n"] > run_limit]
-            if len(crowd):
-                yield crowd
-            f = f[f["n"] <= run_limit]
-            if not len(f):
-                continue
             held.append(f)
             size += len(f)
             if size >= 1 << 17:
@@ -163,13 +156,15 @@ def links(nodes: DataFrame, radius: int = RADIUS, run_limit: int = RUN, block: i
     """nodes: fp, rep (long). Edges (a, b) whose components are those of all pairs within the radius."""
     tables = F.array(*(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(masks(radius))))
     keyed = nodes.select("fp", "rep", F.explode(tables).alias("bk"))
-    keyed = keyed.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("bk"))).filter("n > 1").select("bk", "fp", "rep", "n")
-    # The window has sorted each partition by bk; asking for that order again costs nothing and says what the stream needs.
-    found = settle(keyed.sortWithinPartitions("bk").mapInPandas(_stream(radius, run_limit), "bk long, fp long, rep long, n long"), "simhash-links")
-    edges = found.filter("n = 0").select(F.col("fp").alias("a"), F.col("rep").alias("b"))
-    crowds = found.filter("n > 0")
-    if crowds.isEmpty():
+    # Counted with partial sums, so a crowded key is known before its rows move, and they never meet in one task.
+    crowded = settle(keyed.groupBy("bk").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > run_limit), "simhash-crowded")
+    none = crowded.isEmpty()
+    rest = keyed if none else keyed.join(crowded, "bk", "left_anti")
+    edges = rest.repartition("bk").sortWithinPartitions("bk").select("bk", "fp", "rep").mapInPandas(_stream(radius), "a long, b long")
+    edges = settle(edges, "simhash-links")
+    if none:
         return edges
+    crowds = keyed.join(crowded, "bk")
     blocks = F.ceil(F.col("n") / block).cast("int")
     dealt = crowds.withColumn("i", F.pmod(F.xxhash64("fp"), blocks).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("bk", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "fp", "rep")
@@ -216,14 +211,3 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     of = nodes.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("c"))
     out = fps.join(of, "fp", "left")
     return out.select(F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("k").isNotNull(), F.col("c")).alias("component_id"))
-
-
-def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """df without the rows whose component has a smaller key; rows with a null key stay; of rows with one key one stays."""
-    found = settle(classes(df.select(key, text), key, text, shingle, radius).select(F.col(key).alias("_k"), F.col("component_id").alias("_c")), "simhash-classes")
-    gone = settle(found.filter("_k <> _c").select("_k"), "simhash-gone")
-    repeated = found.filter("_k is not null").groupBy("_k").count().filter("count > 1")
-    out = df.join(gone, df[key] == gone["_k"], "left_anti")
-    if repeated.isEmpty():
-        return out
-    return out.filter(F.col(key).isNull()).unionByName(out.filter(F.col(key).isNotNull()).dropDuplicates([key]))

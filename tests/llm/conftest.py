@@ -35,7 +35,7 @@ def wide_dir(spark, odd_dir, tmp_path_factory):
     """One file: ids beyond 2^53 beside a null, words parted by every control that parts words, equal rows, one id with two texts."""
     root = tmp_path_factory.mktemp("wide")
     rows = [(9007199254740993, EN, "en", "src1"), (None, EN + " null", "en", "src1"), (5, "a\rb\x0bc\x0cd\te  " + EN, "de", "src2"), (-9007199254740995, "", None, None)]
-    rows += [(1, f"{EN} one line\n{EN} one line\nshort", "en", "src3")] * 2 + [(7, EN + " first of two texts", "en", "src3"), (7, "quite another text " * 9, "fr", "src3")]
+    rows += [(1, f"{EN} one line\n{EN} one line\nshort", "en", "src3")] * 2 + [(7, "one more with words of its own that stand nowhere else at all", "en", "src3"), (7, "quite another text " * 9, "fr", "src3")]
     spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING, source STRING").coalesce(1).write.parquet(f"{root}/documents.parquet")
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"{odd_dir}/{t}.parquet").write.parquet(f"{root}/{t}.parquet")

@@ -99,6 +99,38 @@ def test_near_copies(spark):
     assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").collect()} == want
 
 
+@pytest.mark.parametrize("run_limit,block", [(256, 1024), (3, 4)])
+def test_near_copies_of_crowded_keys(spark, run_limit, block):
+    """Families whose members share most shingles, too few or just enough: components as by all pairs."""
+    from pyspark.sql import functions as F
+
+    rng, texts = random.Random(8), []
+    for _ in range(3):
+        base = [f"w{rng.randrange(900)}" for _ in range(120)]
+        for _ in range(25):
+            w = list(base)
+            for p in rng.sample(range(120), rng.randint(1, 7)):
+                w[p] = f"W{rng.randrange(5000)}"
+            texts.append(" ".join(w))
+    texts = sorted(set(texts))
+    sets = [set(zip(*(t.lower().split()[i:] for i in range(5)))) for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    fps = [simhash.fingerprint(t) for t in texts]
+    near += [(i, j) for i in range(len(texts)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4]
+    df = spark.createDataFrame(list(enumerate(texts)), "i LONG, x STRING").withColumn("k", F.xxhash64("x"))
+    got = {r["k"]: r["c"] for r in nearcopies.classes(df.select("k", "x"), run_limit, block).collect()}
+    at = [got[r["k"]] for r in df.orderBy("i").collect()]
+    want = components_of(len(texts), near)
+    assert len(set(zip(at, want))) == len(set(at)) == len(set(want)) and len(set(want)) > 3
+
+
+def test_rows_of_one_id(spark, wide_dir):
+    """Different texts of one id stay, of equal rows one does, null ids stay."""
+    out = nearcopies.keep_first(spark.read.parquet(f"{wide_dir}/documents.parquet"))
+    ids = [r["doc_id"] for r in out.collect()]
+    assert sorted(ids, key=lambda k: (k is None, k or 0)) == [-9007199254740995, 1, 5, 7, 7, None]  # the largest is like 5
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):
