@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,19 +32,41 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
+_scopes: list[list[str]] = []
+
+
 def stage_dir(spark: SparkSession, what: str) -> str:
-    """A new folder under spark.checkpoint.dir, which all machines share; under the warehouse where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_terrane_stage"
+    """A new folder under spark.checkpoint.dir, which all machines share. Where that is unset a local session takes the warehouse; a cluster fails."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir')}/_terrane_stage"
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, what: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts the lineage and survives lost executors."""
+def settle(df: DataFrame, what: str, outer: bool = False) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: cuts the lineage and survives lost executors. It lasts as long as the scope around, or (outer) the one around that."""
     path = stage_dir(df.sparkSession, what)
     df.write.parquet(path)
+    if len(_scopes) > outer:
+        _scopes[-1 - outer].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """A scope: what is settled in it is deleted at its end, so no DataFrame that reads it may be used after. Outside of all scopes tables stay, as results read them."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        context = spark.sparkContext
+        for path in _scopes.pop():
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def stratum(column: Column) -> Column:
     """A non-null key for a nullable string column; null has a key of its own."""
     return F.coalesce(F.concat(F.lit("="), column), F.lit(""))

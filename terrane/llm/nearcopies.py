@@ -4,9 +4,10 @@ Two texts are linked if their sets of SHINGLE-word shingles (words lower-cased A
 have a Jaccard similarity of 0.8 at least, or if their fingerprints are (see simhash). Each text gives its smallest shingle
 hashes, so many that a fifth of its shingles cannot hold them all: any pair of that similarity shares one. Shingles that are
 frequent in a sample come last in that order, whatever the sample: order decides only how many texts meet. Who meets in a key is
-first compared with the key's first document, then with its last; then whoever is in another component still. A pair is sifted by
-counts of its shingles in BUCKETS buckets, whose difference is at most that of the sets, before any text moves; what is left is
-verified on whole sets.
+first compared with the key's first document, then with its last; then whoever is in another component still. A pair is sifted before
+any text moves: a bit for each bucket of shingle hashes says whether an odd number falls in it, and two sets differ in at least as
+many shingles as bits. With twice as many buckets as shingles few pairs below the similarity pass; those that do are verified on
+whole sets.
 
 Texts, not keys, are the nodes: equal texts are one node (told apart by 64-bit hashes, and of the HEAVY texts with most copies only
 one copy is read), and texts that share a key are compared like others.
@@ -27,11 +28,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrane.llm import simhash
-from terrane.llm.common import settle
+from terrane.llm.common import scratch, settle
 from terrane.llm.wordhash import Batch, batches, mix, space_map
 
 SHINGLE = 5
-BUCKETS, RUN, BLOCK = 128, 256, 1024
+MOST_BITS, RUN, BLOCK = 1 << 15, 256, 1024
 HEAVY = 1 << 17  # texts with most copies, sent to all machines
 SAMPLE, OFTEN, FREQUENT = 5000, 3, 1 << 16  # documents looked at for frequent shingles; times seen; how many of them at most
 
@@ -89,25 +90,51 @@ def _shingles(docs: DataFrame, frequent: np.ndarray | None) -> DataFrame:
     return docs.mapInPandas(run, "key long, k long, n int")
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """A bit for each of 2^b buckets, 64 and twice the number of hashes at least, MOST_BITS at most: whether its number of hashes is odd."""
+    bits = min(max(64, 1 << int(2 * len(hashes)).bit_length()), MOST_BITS)
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def _sketches(docs: DataFrame) -> DataFrame:
-    """k, s: how many shingles of the text fall into each bucket, 255 at most."""
+    """k, s (sketch)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            found = [np.minimum(np.bincount((h % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes() for h in shingle_sets(f["x"].tolist())]
-            yield pd.DataFrame({"k": f["k"], "s": pd.Series(found, dtype=object)})
+            yield pd.DataFrame({"k": f["k"], "s": pd.Series([sketch(h) for h in shingle_sets(f["x"].tolist())], dtype=object)})
 
     return docs.mapInPandas(run, "k long, s binary")
 
 
-def _matrix(s: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(map(bytes, s)), np.uint8).reshape(-1, BUCKETS)
-
-
-def _may(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Whether sets with these sketches and n shingles together can have the similarity: their difference is a ninth of n at most."""
-    gap = np.maximum(x, y) - np.minimum(x, y)
-    return 9 * gap.sum(axis=1, dtype=np.int64) <= n
+class _Sieve:
+    """Sketches of several texts; a longer one is folded to the length of the other."""
+
+    def __init__(self, sketches: list[bytes]):
+        self.size = np.fromiter(map(len, sketches), np.int64, len(sketches))
+        self.at, self.rows = {}, {}
+        for n in np.unique(self.size).tolist():
+            own, twice = np.flatnonzero(self.size == n), np.flatnonzero(self.size == 2 * n)
+            at = np.full(len(sketches), -1)
+            at[own], at[twice] = np.arange(len(own)), len(own) + np.arange(len(twice))
+            rows = np.frombuffer(b"".join(sketches[i] for i in own), np.uint64).reshape(len(own), -1)
+            if len(twice):
+                wide = np.frombuffer(b"".join(sketches[i] for i in twice), np.uint64).reshape(len(twice), -1)
+                rows = np.concatenate([rows, wide[:, : n // 8] ^ wide[:, n // 8 :]])
+            self.at[n], self.rows[n] = at, rows
+
+    def may(self, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whether the pairs (x, y), with n shingles together, can be similar: their difference is a ninth of n at most."""
+        out = np.zeros(len(x), bool)
+        least = np.minimum(self.size[x], self.size[y])
+        for size in np.unique(least).tolist():
+            mine = np.flatnonzero(least == size)
+            at, rows = self.at[size], self.rows[size]
+            for i in range(0, len(mine), step := max(1, (1 << 24) // size)):
+                part = mine[i : i + step]
+                u, v = at[x[part]], at[y[part]]
+                out[part] = (u < 0) | (v < 0) | (9 * np.bitwise_count(rows[u] ^ rows[v]).sum(axis=1, dtype=np.int64) <= n[part])
+        return out
 
 
 def _sifted(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -115,7 +142,8 @@ def _sifted(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield f[_may(_matrix(f["x"]), _matrix(f["y"]), f["nn"].to_numpy())][["a", "b", "ca", "cb"]]
+            m = np.arange(len(f))
+            yield f[_Sieve([*map(bytes, f["x"]), *map(bytes, f["y"])]).may(m, m + len(f), f["nn"].to_numpy())][["a", "b", "ca", "cb"]]
 
     pairs = settle(pairs.distinct(), "near-pairs")
     x, y = sketches.select(F.col("k").alias("a"), F.col("s").alias("x")), sketches.select(F.col("k").alias("b"), F.col("s").alias("y"))
@@ -147,17 +175,15 @@ def _relabelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
 def _run_pairs(f: pd.DataFrame) -> pd.DataFrame:
     """Pairs (a, b, ca, cb) among rows (key sorted, k, n, c, s) of whole keys that are in different components and pass the sieve."""
     key, k, n, c = (f[x].to_numpy() for x in ("key", "k", "n", "c"))
-    s = _matrix(f["s"])
+    sieve = _Sieve(list(map(bytes, f["s"])))
     last, place, out = np.searchsorted(key, key, side="right"), np.arange(len(key)), []
     d, live = 1, np.flatnonzero(last - place > 1)
     while len(live):
         x, y = live, live + d
         ok = (c[x] != c[y]) & (5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y]))
         x, y = x[ok], y[ok]
-        for i in range(0, len(x), 1 << 14):
-            u, v = x[i : i + (1 << 14)], y[i : i + (1 << 14)]
-            good = _may(s[u], s[v], n[u] + n[v])
-            out.append(np.stack([u[good], v[good]]))
+        good = sieve.may(x, y, n[x] + n[y])
+        out.append(np.stack([x[good], y[good]]))
         d += 1
         live = live[last[live] - live > d]
     x, y = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
@@ -232,16 +258,17 @@ def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """df with one row of each component, as defined above, and the rows with a null key."""
     names = df.columns
     h, id_ = F.xxhash64(F.col(text)), F.col(key)
-    rows = settle(df.filter(id_.isNotNull()).select(id_.alias("i"), h.alias("k")), "near-rows")
-    copies = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("p")).filter("n > 1").orderBy(F.desc("n"), "k").limit(HEAVY)
-    docs = df.filter(id_.isNotNull()).select(id_.alias("i"), h.alias("k"), F.col(text).alias("x")).join(F.broadcast(copies.select("k", "p")), "k", "left")
-    found = settle(classes(docs.filter("p is null or i = p").select("k", "x")), "near-classes")
-    placed = settle(rows.join(found, "k").select("i", "k", "c"), "near-placed")
-    first = settle(placed.groupBy("c").agg(F.min(F.struct("i", "k")).alias("p")), "near-firsts")
-    gone = placed.join(first, "c").filter("p.i <> i or p.k <> k").select(F.col("i").alias("_i"), F.col("k").alias("_k")).distinct()
-    gone = settle(gone, "near-gone")
+    with scratch(df.sparkSession):
+        rows = settle(df.filter(id_.isNotNull()).select(id_.alias("i"), h.alias("k")), "near-rows")
+        copies = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("p")).filter("n > 1").orderBy(F.desc("n"), "k").limit(HEAVY)
+        docs = df.filter(id_.isNotNull()).select(id_.alias("i"), h.alias("k"), F.col(text).alias("x")).join(F.broadcast(copies.select("k", "p")), "k", "left")
+        found = settle(classes(docs.filter("p is null or i = p").select("k", "x")), "near-classes")
+        placed = settle(rows.join(found, "k").select("i", "k", "c"), "near-placed")
+        first = settle(placed.groupBy("c").agg(F.min(F.struct("i", "k")).alias("p")), "near-firsts")
+        gone = placed.join(first, "c").filter("p.i <> i or p.k <> k").select(F.col("i").alias("_i"), F.col("k").alias("_k")).distinct()
+        gone = settle(gone, "near-gone", outer=True)
+        repeated = settle(rows.groupBy("i", "k").count().filter("count > 1").select(F.col("i").alias("_i"), F.col("k").alias("_k")), "near-repeated", outer=True)
     out = df.join(gone, (id_ == gone["_i"]) & (h == gone["_k"]), "left_anti")
-    repeated = settle(rows.groupBy("i", "k").count().filter("count > 1").select(F.col("i").alias("_i"), F.col("k").alias("_k")), "near-repeated")
     if repeated.isEmpty():
         return out
     again = (id_ == repeated["_i"]) & (h == repeated["_k"])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import settle
+from terrane.llm.common import scratch, settle
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 RUN = 2048  # nodes of one key that are compared in the stream; more are dealt out in blocks
@@ -186,28 +186,31 @@ def components(edges: DataFrame) -> DataFrame:
             return joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return joined.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
 
-    edges = settle(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-edges")
-    seen = None
-    while True:
-        both = sides(edges)
-        # The minima are written first: a join with the aggregate itself would share its exchange, and Spark could not split a hub.
-        low = settle(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "cc-least")
-        edges = settle(star(both, low, True).filter("a <> b").distinct(), "cc-large")
-        low = settle(edges.groupBy("a").agg(F.min("b").alias("m")), "cc-least")
-        edges = settle(star(edges, low, False).filter("a <> b").distinct(), "cc-small")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if state == seen:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = state
+    with scratch(edges.sparkSession):
+        edges = settle(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-edges")
+        seen = None
+        while True:
+            both = sides(edges)
+            # The minima are written first: a join with the aggregate itself would share its exchange, and Spark could not split a hub.
+            low = settle(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "cc-least")
+            edges = settle(star(both, low, True).filter("a <> b").distinct(), "cc-large")
+            low = settle(edges.groupBy("a").agg(F.min("b").alias("m")), "cc-least")
+            edges = settle(star(edges, low, False).filter("a <> b").distinct(), "cc-small")
+            state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+            if state == seen:
+                return settle(edges.select(F.col("a").alias("node"), F.col("b").alias("root")), "cc-roots", outer=True)
+            seen = state
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """key, fingerprint (hex) and component_id (the smallest key reachable) for every row."""
-    fps = settle(fingerprints(df, key, text, shingle), "simhash-fingerprints")
-    nodes = settle(fps.filter("k is not null").groupBy("fp").agg(F.min("k").cast("long").alias("rep")), "simhash-nodes")
-    # A key with several fingerprints is one node: it ties them, too.
-    same = fps.filter("k is not null").join(nodes, "fp").filter("k <> rep").select(F.col("k").cast("long").alias("a"), F.col("rep").alias("b"))
-    roots = components(links(nodes, radius).unionByName(same.join(nodes.select(F.col("rep").alias("a")).distinct(), "a", "left_semi")))
-    of = nodes.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("c"))
+    with scratch(df.sparkSession):
+        fps = settle(fingerprints(df, key, text, shingle), "simhash-fingerprints", outer=True)
+        nodes = settle(fps.filter("k is not null").groupBy("fp").agg(F.min("k").cast("long").alias("rep")), "simhash-nodes")
+        # A key with several fingerprints is one node: it ties them, too.
+        same = fps.filter("k is not null").join(nodes, "fp").filter("k <> rep").select(F.col("k").cast("long").alias("a"), F.col("rep").alias("b"))
+        roots = components(links(nodes, radius).unionByName(same.join(nodes.select(F.col("rep").alias("a")).distinct(), "a", "left_semi")))
+        of = nodes.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("c"))
+        of = settle(of, "simhash-components", outer=True)
     out = fps.join(of, "fp", "left")
     return out.select(F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("k").isNotNull(), F.col("c")).alias("component_id"))

@@ -124,6 +124,24 @@ def test_near_copies_of_crowded_keys(spark, run_limit, block):
     assert len(set(zip(at, want))) == len(set(at)) == len(set(want)) and len(set(want)) > 3
 
 
+def test_sieve_lets_every_similar_pair_pass():
+    rng = np.random.default_rng(9)
+    sets = [rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (1, 3, 30, 31, 33, 200, 260, 5000, 40000)]
+    pairs = []
+    for s in sets:
+        for share in (0.75, 0.8, 0.85, 1.0):
+            kept = s[: int(np.ceil(len(s) * share))]
+            pairs.append((s, kept))
+            pairs.append((s, np.concatenate([kept, rng.integers(0, 1 << 63, len(s) // 20, dtype=np.uint64)])))
+    n = len(pairs)
+    sieve = nearcopies._Sieve([nearcopies.sketch(a) for a, _ in pairs] + [nearcopies.sketch(b) for _, b in pairs])
+    got = sieve.may(np.arange(n), np.arange(n) + n, np.array([len(a) + len(b) for a, b in pairs]))
+    for ok, (a, b) in zip(got, pairs):
+        both = len(np.intersect1d(a, b))
+        assert ok or 5 * both < 4 * (len(a) + len(b) - both)
+    assert not got.all()
+
+
 def test_rows_of_one_id(spark, wide_dir):
     """Different texts of one id stay, of equal rows one does, null ids stay."""
     out = nearcopies.keep_first(spark.read.parquet(f"{wide_dir}/documents.parquet"))
