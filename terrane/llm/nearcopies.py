@@ -4,7 +4,7 @@ Two texts are linked if their sets of SHINGLE-word shingles (words lower-cased A
 have a Jaccard similarity of 0.8 at least, or if their fingerprints are (see simhash). Each text gives its smallest shingle
 hashes, so many that a fifth of its shingles cannot hold them all: any pair of that similarity shares one. Shingles that are
 frequent in a sample come last in that order, whatever the sample: order decides only how many texts meet. Who meets in a key is
-first compared with the key's first document, then with its last; then whoever is in another component still. A pair is sifted before
+first compared with the key's first and last document; then whoever is in another component still. A pair is sifted before
 any text moves: a bit for each bucket of shingle hashes says whether an odd number falls in it, and two sets differ in at least as
 many shingles as bits. With twice as many buckets as shingles few pairs below the similarity pass; those that do are verified on
 whole sets.
@@ -227,30 +227,30 @@ def classes(docs: DataFrame, run_limit: int = RUN, block: int = BLOCK) -> DataFr
     often = _shingles(sample, None).distinct().groupBy("key").count().filter(F.col("count") >= OFTEN).orderBy(F.desc("count"), "key").limit(FREQUENT)
     frequent = np.sort(np.array([r["key"] for r in often.collect()], np.int64).view(np.uint64))
     by = W.partitionBy("key")
-    met = _shingles(docs, frequent).withColumn("lo", F.min("k").over(by)).withColumn("hi", F.max("k").over(by)).filter("lo <> hi").drop("lo", "hi")
-    met = settle(met.distinct(), "near-met").join(found, "k")
+    met = _shingles(docs, frequent).withColumn("lo", F.min("k").over(by)).withColumn("hi", F.max("k").over(by)).filter("lo <> hi")
+    met = settle(met.select("key", "k", "n").distinct(), "near-met")
 
     def open_keys(rows: DataFrame) -> DataFrame:
-        kept = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi").select("key", "m")
-        return settle(rows.drop("m").join(settle(kept, "near-open-keys"), "key"), "near-open")
+        """rows: key, k, n, c, of the keys with several components, with m (rows of the key) and its first and last row."""
+        row = F.struct("k", "n", "c")
+        kept = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m"), F.min(row).alias("first"), F.max(row).alias("last"))
+        kept = settle(kept.filter("lo <> hi").drop("lo", "hi"), "near-open-keys")
+        return settle(rows.join(kept, "key"), "near-open")
 
-    met = open_keys(settle(met, "near-met-in"))
+    met = open_keys(settle(met.join(found, "k"), "near-met-in"))
     if met.isEmpty():
         return found
     sketches = settle(_sketches(docs.join(met.select("k").distinct(), "k", "left_semi")).dropDuplicates(["k"]), "near-sketches")
-    size = "5 * least(n, nb) >= 4 * greatest(n, nb)"
-    links = []
-    for end in (F.min, F.max):
-        head = met.groupBy("key").agg(end(F.struct("k", "n", "c")).alias("s")).select("key", F.col("s.k").alias("kb"), F.col("s.n").alias("nb"), F.col("s.c").alias("cb"))
-        pairs = met.join(head, "key").filter(f"c <> cb and {size}")
-        pairs = pairs.select(F.least("k", "kb").alias("a"), F.greatest("k", "kb").alias("b"), F.least("c", "cb").alias("ca"), F.greatest("c", "cb").alias("cb"), (F.col("n") + F.col("nb")).alias("nn"))
-        links.append(_similar(_sifted(pairs, sketches), docs))
-        met = open_keys(_relabelled(met, links[-1]))
-    if not met.isEmpty():
-        links.append(_similar(_all_pairs(met.join(sketches, "k"), run_limit, block), docs))
-    edges = links[0]
-    for e in links[1:]:
-        edges = edges.unionByName(e)
+
+    def with_end(end: str) -> DataFrame:
+        pairs = met.filter(f"c <> {end}.c and 5 * least(n, {end}.n) >= 4 * greatest(n, {end}.n)")
+        less, more = F.least("k", f"{end}.k"), F.greatest("k", f"{end}.k")
+        return pairs.select(less.alias("a"), more.alias("b"), F.least("c", f"{end}.c").alias("ca"), F.greatest("c", f"{end}.c").alias("cb"), (F.col("n") + F.col(f"{end}.n")).alias("nn"))
+
+    edges = _similar(_sifted(with_end("first").unionByName(with_end("last")), sketches), docs)
+    rest = open_keys(_relabelled(met.select("key", "k", "n", "c"), edges))
+    if not rest.isEmpty():
+        edges = edges.unionByName(_similar(_all_pairs(rest.drop("first", "last").join(sketches, "k"), run_limit, block), docs))
     return _relabelled(found, edges)
 
 
