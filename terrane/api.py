@@ -106,8 +106,7 @@ class Project:
         return files.file_tree(self.spark, self.root)
 
     def get_symbols(self) -> DataFrame:
-        s = self.model().symbols.filter(F.col("kind").isin("function", "method"))
-        return s.select("id", "name", "kind", F.col("source.file").alias("file")).orderBy("id")
+        return tree.callables(self.model().symbols)
 
     # Plan and state.
     def _state(self) -> DataFrame:

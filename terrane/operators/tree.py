@@ -38,16 +38,18 @@ def nodes_of(tree: DataFrame) -> DataFrame:
 def grow(roots: DataFrame, entities: DataFrame) -> DataFrame:
     """Tree rows below the roots (report and an entity's columns), one level a step; a step joins the last level only.
 
-    Siblings stand by start line, then id, which is the model's order."""
+    Siblings stand by start line, then id, which is the model's order. An entity never stands below itself, so ids that collide end the
+    tree there."""
     w = W.partitionBy("source.file", "parent_id").orderBy("source.start_line", "id")
     kids = settle(entities.filter("parent_id <> ''").withColumn("ord", F.row_number().over(w)), "tree-kids")
-    level = roots.withColumn("path", _pad(F.lit(1))).withColumn("depth", F.lit(0)).withColumn("ord", F.lit(1)).withColumn("parent", F.lit(None).cast("string"))
+    level = roots.withColumn("path", _pad(F.lit(1))).withColumn("depth", F.lit(0)).withColumn("ord", F.lit(1)).withColumn("parent", F.lit(None).cast("string")).withColumn("_line", F.array("id"))
     names = level.columns
     level = settle(level, "tree-level")
     tree = level
     while not level.isEmpty():
-        up = level.select("report", F.col("id").alias("up"), F.col("path").alias("up_path"), F.col("depth").alias("up_depth"), F.col("source.file").alias("up_file"))
-        level = kids.join(up, (kids["parent_id"] == up["up"]) & (kids["source.file"] == up["up_file"]))
+        up = level.select("report", F.col("id").alias("up"), F.col("path").alias("up_path"), F.col("depth").alias("up_depth"), F.col("source.file").alias("up_file"), F.col("_line").alias("up_line"))
+        level = kids.join(up, (kids["parent_id"] == up["up"]) & (kids["source.file"] == up["up_file"])).filter(~F.array_contains("up_line", F.col("id")))
+        level = level.withColumn("_line", F.array_append("up_line", F.col("id")))
         level = level.withColumn("path", F.concat("up_path", F.lit("/"), _pad(F.col("ord")))).withColumn("depth", F.col("up_depth") + 1).withColumn("parent", F.col("up"))
         level = settle(level.select(*names), "tree-level")
         tree = tree.unionByName(level)
@@ -114,6 +116,11 @@ def project_map(model: Model) -> DataFrame:
     return top.select(*COLUMNS).unionByName(rest.select(*COLUMNS))
 
 
+def callables(symbols: DataFrame) -> DataFrame:
+    """id, name, kind, file of functions and methods, by id."""
+    return symbols.filter(F.col("kind").isin("function", "method")).select("id", "name", "kind", F.col("source.file").alias("file")).orderBy("id")
+
+
 def cross_refs(nodes: DataFrame, model: Model) -> DataFrame:
     """report, id, cross_refs: a call node points to its symbol; any other node with a symbol is pointed to by its callers, one entry
     for each call, in call order."""
