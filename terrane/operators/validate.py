@@ -109,12 +109,21 @@ def coverage_errors(nodes: DataFrame, model: Model, level: str) -> DataFrame:
     return none.unionByName(bad.select(F.col("key.report").alias("report"), text.alias("message")))
 
 
-def validate(nodes: DataFrame, model: Model, level: str = "file") -> tuple[DataFrame, DataFrame]:
-    """Snapped nodes with known symbols, and all errors (report, message); reports that break the schema show those errors only."""
+def validate(nodes: DataFrame, model: Model, level: str = "file", palette: DataFrame | None = None, edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Snapped nodes with known symbols, and all errors (report, message); reports that break the schema show those errors only.
+
+    Element types are checked against palette (type) where nodes have the column element_type, branch targets where they have
+    branches (condition, target), and ends of edges (report, from, to) where edges are given; see backed_edges for their status."""
     broken = schema_errors(nodes)
     sound = nodes.join(broken.select("report").distinct(), "report", "left_anti")
     fixed = snapped(sound, model)
     errors = broken.unionByName(node_errors(fixed, model, level))
+    if palette is not None and "element_type" in nodes.columns:
+        errors = errors.unionByName(palette_errors(fixed, palette))
+    if "branches" in nodes.columns:
+        errors = errors.unionByName(branch_errors(fixed.select("report", "id", F.explode("branches.target").alias("target")), fixed))
+    if edges is not None:
+        errors = errors.unionByName(edge_errors(edges.join(sound.select("report").distinct(), "report", "left_semi"), fixed))
     fixed = known_symbols(fixed, model)
     if level != "project":
         errors = errors.unionByName(coverage_errors(fixed, model, level))

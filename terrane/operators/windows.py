@@ -1,4 +1,4 @@
-"""Ordered operators: line windows, pairwise merges, chains."""
+"""Ordered operators: line windows and pairwise merges."""
 
 from __future__ import annotations
 
@@ -35,9 +35,3 @@ def adjacent_merge(df: DataFrame, key: str, order: list[str], group: str) -> Dat
     new = F.coalesce((F.col(group) != F.lag(group).over(w)) | F.col(group).isNull() | F.lag(group).over(w).isNull(), F.lit(True))
     df = df.withColumn("_new", new.cast("int")).withColumn("island", F.sum("_new").over(w)).drop("_new")
     return df.withColumn("pair", F.floor((F.row_number().over(W.partitionBy(key, "island").orderBy(*order)) - 1) / 2).cast("int"))
-
-
-def chain(df: DataFrame, key: str, order: list[str], node: str) -> DataFrame:
-    """Edges from each node to the next one of its key."""
-    w = W.partitionBy(key).orderBy(*order)
-    return df.select(key, F.col(node).alias("to_node"), F.lag(node).over(w).alias("from_node")).filter("from_node is not null").select(key, "from_node", "to_node")

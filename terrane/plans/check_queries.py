@@ -8,44 +8,30 @@ from terrane.operators import coverage, snap
 from terrane.plans.tables import table
 
 
-def known_file_anti(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey").join(table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
-
-
-def symbol_clear(spark, sf_dir):
-    """A symbol that isn't known becomes null, with a warning; others stay."""
-    parts = table(spark, sf_dir, "part").filter(F.col("p_size") > 10).select(F.col("p_partkey").alias("known"))
-    nodes = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("symbol"))
-    out = nodes.join(parts, F.col("symbol") == F.col("known"), "left")
-    return out.groupBy(F.col("known").cast("string").alias("symbol")).agg(F.count("*").alias("n"), F.count_if(F.col("known").isNull()).alias("cleared"))
-
-
-CLEAR_SQL = """SELECT CAST(k.p_partkey AS VARCHAR) AS symbol, count(*) AS n, count(*) FILTER (k.p_partkey IS NULL) AS cleared
-FROM lineitem LEFT JOIN (SELECT p_partkey FROM part WHERE p_size > 10) k ON l_partkey = k.p_partkey GROUP BY 1"""
-
-
 def coverage_exactly_once(spark, sf_dir):
-    want = table(spark, sf_dir, "orders").filter(F.col("o_orderkey") % 4 != 0).select(F.col("o_orderkey").alias("id"))
-    have = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("id"))
+    """Orders by their lines; some orders have other numbers, so their lines are unknown and they have none."""
+    want = table(spark, sf_dir, "orders").select((F.col("o_orderkey") + F.when(F.col("o_orderkey") % 4 == 0, 10_000_000).otherwise(0)).alias("id"))
+    have = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"))
     return coverage.exactly_once(want, have, "id")
 
 
 COVERAGE_SQL = """
-WITH w AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 4 <> 0), h AS (SELECT l_orderkey AS id, count(*) AS n FROM lineitem WHERE l_linenumber = 1 GROUP BY 1)
+WITH w AS (SELECT o_orderkey + CASE WHEN o_orderkey % 4 = 0 THEN 10000000 ELSE 0 END AS id FROM orders), h AS (SELECT l_orderkey AS id, count(*) AS n FROM lineitem GROUP BY 1)
 SELECT * FROM (SELECT coalesce(w.id, h.id) AS id, CASE WHEN w.id IS NULL THEN 'unknown' WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'duplicate' END AS status, coalesce(n, 0) AS n
 FROM w FULL JOIN h ON w.id = h.id) WHERE status IS NOT NULL"""
 
 
 def _labels(spark, sf_dir):
-    return table(spark, sf_dir, "labels").filter("doc_id % 3 <> 0").select(
-        (F.col("doc_id") + F.when(F.col("doc_id") % 50 == 1, 10_000_000).otherwise(0)).alias("id"),
+    """Labels of all documents that have one; the ids of some are altered, so that documents lack theirs and replies are unknown."""
+    return table(spark, sf_dir, "labels").select(
+        (F.col("doc_id") + F.when(F.col("doc_id") % 3 == 0, 10_000_000).otherwise(0)).alias("id"),
         F.when(F.col("doc_id") % 7 == 0, " ").otherwise(F.concat(F.lit("q"), F.col("quality").cast("string"))).alias("label"),
         F.when(F.col("toxic") == 1, "").otherwise("ok").alias("summary"),
     )
 
 
-_LABELS_SQL = """(SELECT doc_id + CASE WHEN doc_id % 50 = 1 THEN 10000000 ELSE 0 END AS id, CASE WHEN doc_id % 7 = 0 THEN ' ' ELSE 'q' || quality END AS label,
-  CASE WHEN toxic = 1 THEN '' ELSE 'ok' END AS summary FROM labels WHERE doc_id % 3 <> 0)"""
+_LABELS_SQL = """(SELECT doc_id + CASE WHEN doc_id % 3 = 0 THEN 10000000 ELSE 0 END AS id, CASE WHEN doc_id % 7 = 0 THEN ' ' ELSE 'q' || quality END AS label,
+  CASE WHEN toxic = 1 THEN '' ELSE 'ok' END AS summary FROM labels)"""
 
 
 def label_strict_cover(spark, sf_dir):
@@ -95,55 +81,12 @@ c AS (SELECT o_orderkey, least(greatest(s, 1), m) AS a, least(greatest(e, 1), m)
 SELECT o_orderkey, least(a, b) AS start_line, greatest(a, b) AS end_line FROM c"""
 
 
-def edge_backing(spark, sf_dir):
-    """Claimed edges between nations (supplier's to customer's) are verified only if a shipment backs them, else inferred."""
-    nation = table(spark, sf_dir, "nation")
-    claims = nation.select(F.col("n_nationkey").alias("a")).join(nation.select(F.col("n_nationkey").alias("b")), (F.col("a") + F.col("b")) % 3 == 0)
-    line, orders = table(spark, sf_dir, "lineitem").filter("l_quantity > 49"), table(spark, sf_dir, "orders")
-    sup, cust = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
-    calls = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(sup, F.col("l_suppkey") == F.col("s_suppkey")).join(cust, F.col("o_custkey") == F.col("c_custkey"))
-    calls = calls.select(F.col("s_nationkey").alias("a"), F.col("c_nationkey").alias("b")).distinct().withColumn("hit", F.lit(True))
-    return claims.join(calls, ["a", "b"], "left").select("a", "b", F.when(F.col("hit"), "verified").otherwise("inferred").alias("status"))
-
-
-BACKING_SQL = """
-WITH calls AS (SELECT DISTINCT s_nationkey AS a, c_nationkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey WHERE l_quantity > 49)
-SELECT x.n_nationkey AS a, y.n_nationkey AS b, CASE WHEN EXISTS (SELECT 1 FROM calls c WHERE c.a = x.n_nationkey AND c.b = y.n_nationkey) THEN 'verified' ELSE 'inferred' END AS status
-FROM nation x JOIN nation y ON (x.n_nationkey + y.n_nationkey) % 3 = 0"""
-
-
-def schema_rules(spark, sf_dir):
-    """Props must be an object with a whole number k of 10 at least."""
-    p = table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
-    n = F.expr("try_cast(k AS INT)")
-    fault = F.when(F.col("k").isNull(), "k is required").when(n.isNull(), "k must be a whole number").when(n < 10, "k is below the minimum")
-    return p.select("event_id", fault.alias("fault")).filter("fault is not null")
-
-
-RULES_SQL = """SELECT * FROM (SELECT event_id, CASE WHEN k IS NULL THEN 'k is required' WHEN TRY_CAST(k AS INTEGER) IS NULL THEN 'k must be a whole number' WHEN TRY_CAST(k AS INTEGER) < 10 THEN 'k is below the minimum' END AS fault
-FROM (SELECT event_id, json_extract_string(props, '$.k') AS k FROM events)) WHERE fault IS NOT NULL"""
-
-
-def error_text(spark, sf_dir):
-    """Messages of a key joined in a stable order."""
-    e = table(spark, sf_dir, "events").filter("event_type = 'error'")
-    m = F.concat(F.lit("e"), F.lpad(F.col("event_id").cast("string"), 12, "0"))
-    return e.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list(m)), "; ").alias("errors"))
-
-
-ERROR_SQL = "SELECT user_id, string_agg('e' || lpad(CAST(event_id AS VARCHAR), 12, '0'), '; ' ORDER BY event_id) AS errors FROM events WHERE event_type = 'error' GROUP BY 1"
-
 _ALL = {
-    "known_file_anti": (known_file_anti, "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')"),
-    "symbol_clear": (symbol_clear, CLEAR_SQL),
     "coverage_exactly_once": (coverage_exactly_once, COVERAGE_SQL),
     "label_strict_cover": (label_strict_cover, STRICT_SQL),
     "label_apply": (label_apply, APPLY_SQL),
     "nearest_snap": (nearest_snap, SNAP_SQL),
     "clamp_range": (clamp_range, CLAMP_SQL),
-    "edge_backing": (edge_backing, BACKING_SQL),
-    "schema_rules": (schema_rules, RULES_SQL),
-    "error_text": (error_text, ERROR_SQL),
 }
 QUERIES = {k: f for k, (f, _) in _ALL.items()}
 ORACLES = {k: sql for k, (_, sql) in _ALL.items()}

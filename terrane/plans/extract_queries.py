@@ -115,7 +115,6 @@ def _model(spark, sf_dir, language: str) -> models.Model:
     return models.from_extracted(files.extract(_sources(spark, sf_dir, language)))
 
 
-_AT = [F.col("source.file").alias("file"), F.col("source.start_line").alias("start_line"), F.col("source.end_line").alias("end_line")]
 _SYMBOLS = ["id", "kind", "name", "package", "file", "start_line", "end_line", "signature", "is_exported", "is_async"]
 _ENTITIES = ["kind", "name", "symbol", "callee", "condition", "code", "coverage", "file", "start_line", "end_line", "parent"]
 
@@ -184,15 +183,15 @@ def go_packages(spark, sf_dir):
 
 
 def go_symbols(spark, sf_dir):
-    return _model(spark, sf_dir, "go").symbols.select(*_SYMBOLS[:4], *_AT, *_SYMBOLS[7:])
+    return _model(spark, sf_dir, "go").symbols.select(*_SYMBOLS[:4], "source.file", "source.start_line", "source.end_line", *_SYMBOLS[7:])
 
 
 def go_calls(spark, sf_dir):
-    return _model(spark, sf_dir, "go").calls.select("from", "to", *_AT[:2])
+    return _model(spark, sf_dir, "go").calls.select("from", "to", "source.file", "source.start_line")
 
 
 def go_effects(spark, sf_dir):
-    return _model(spark, sf_dir, "go").effects.select("symbol", "kind", "detail", *_AT[:2])
+    return _model(spark, sf_dir, "go").effects.select("symbol", "kind", "detail", "source.file", "source.start_line")
 
 
 def go_errors(spark, sf_dir):
@@ -202,7 +201,7 @@ def go_errors(spark, sf_dir):
 def _entities(m: models.Model) -> DataFrame:
     up = m.entities.select(F.col("id").alias("_up"), F.concat_ws(":", "kind", F.col("source.start_line").cast("string")).alias("parent"))
     rows = m.entities.join(up, F.col("parent_id") == F.col("_up"), "left")
-    return rows.select(*_ENTITIES[:7], *_AT, F.coalesce("parent", F.lit(":0")).alias("parent"))
+    return rows.select(*_ENTITIES[:7], "source.file", "source.start_line", "source.end_line", F.coalesce("parent", F.lit(":0")).alias("parent"))
 
 
 def go_entities(spark, sf_dir):
@@ -216,15 +215,15 @@ def ts_packages(spark, sf_dir):
 
 
 def ts_symbols(spark, sf_dir):
-    return _model(spark, sf_dir, "typescript").symbols.select(*_SYMBOLS[:4], *_AT, *_SYMBOLS[7:])
+    return _model(spark, sf_dir, "typescript").symbols.select(*_SYMBOLS[:4], "source.file", "source.start_line", "source.end_line", *_SYMBOLS[7:])
 
 
 def ts_calls(spark, sf_dir):
-    return _model(spark, sf_dir, "typescript").calls.select("from", "to", *_AT[:2])
+    return _model(spark, sf_dir, "typescript").calls.select("from", "to", "source.file", "source.start_line")
 
 
 def ts_effects(spark, sf_dir):
-    return _model(spark, sf_dir, "typescript").effects.select("symbol", "kind", "detail", *_AT[:2])
+    return _model(spark, sf_dir, "typescript").effects.select("symbol", "kind", "detail", "source.file", "source.start_line")
 
 
 def ts_entities(spark, sf_dir):

@@ -171,7 +171,11 @@ def _faulty(nodes: DataFrame) -> DataFrame:
 
 def validation_texts(spark, sf_dir):
     """All faults of each report in one text; a report that breaks the schema shows those faults only."""
-    errors = validate.validate(_faulty(_nodes(spark, sf_dir)), code_model(spark, sf_dir), "file")[1]
+    nodes = _faulty(_nodes(spark, sf_dir)).withColumn("element_type", F.when(S("depth") == 1, F.concat(F.lit("t"), F.substring("id", -1, 1))))
+    nodes = nodes.withColumn("branches", F.when(S("kind") == "decision", F.array(F.struct(F.lit("yes").alias("condition"), F.concat("id", F.when(S("id").endswith("1"), "?").otherwise("")).alias("target")))))
+    palette = table(spark, sf_dir, "nation").select(F.concat(F.lit("t"), S("n_nationkey").cast("string")).alias("type")).filter("type <> 't6'")
+    edges = view.structural_edges(nodes).withColumn("to", F.when(S("to").endswith("44"), F.concat("to", F.lit("?"))).otherwise(S("to")))
+    errors = validate.validate(nodes, code_model(spark, sf_dir), "file", palette, edges)[1]
     return validate.error_texts(errors)
 
 
@@ -187,6 +191,9 @@ messages AS (
   FROM schema_faults
   UNION ALL SELECT report, 'node ''' || id || ''' references unknown file ''' || file || '''' FROM sound WHERE file NOT IN (SELECT file FROM sym)
   UNION ALL SELECT report, 'node ''' || id || ''' missing Russian summary' FROM sound WHERE tail = '9'
+  UNION ALL SELECT report, 'node ''' || id || ''' uses unknown element_type ''t6''' FROM sound WHERE depth = 1 AND tail = '6'
+  UNION ALL SELECT report, 'node ''' || id || ''' branch targets unknown node ''' || id || '?''' FROM sound WHERE kind = 'decision' AND ends_with(id, '1')
+  UNION ALL SELECT report, 'edge ''' || parent_id || '→' || id || '?'' references unknown node ''' || id || '?''' FROM sound WHERE depth > 0 AND ends_with(id, '44')
   UNION ALL SELECT want.report, 'coverage: missing AST unit ''' || want.id || '''' FROM want LEFT JOIN have USING (report, id) WHERE n IS NULL
   UNION ALL SELECT have.report, 'coverage: unknown AST unit ''' || have.id || '''' FROM have LEFT JOIN want USING (report, id) WHERE want.id IS NULL
   UNION ALL SELECT have.report, 'coverage: AST unit ''' || have.id || ''' appears ' || n || ' times' FROM have JOIN want USING (report, id) WHERE n > 1)

@@ -100,14 +100,6 @@ SELECT DISTINCT array_to_string(p[1:depth], '/') AS path, depth, CASE WHEN depth
 HOST_RULES = [(0, "%.example.com"), (1, "m.%"), (2, "%.net"), (3, "%")]
 
 
-def import_lookup_first(spark, sf_dir):
-    """The first rule whose pattern fits each page's host."""
-    host = F.regexp_extract("url", r"^https?://([^/?#]+)", 1)
-    p = table(spark, sf_dir, "pages").select("page_id", host.alias("host"))
-    rule = F.coalesce(*(F.when(F.col("host").like(pattern), n) for n, pattern in HOST_RULES))
-    return p.select("page_id", rule.alias("rule"))
-
-
 IMPORT_SQL = r"""SELECT page_id, min(rule) AS rule FROM (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages) JOIN (VALUES """ + ", ".join(f"({n}, '{p}')" for n, p in HOST_RULES) + r""") r(rule, pattern) ON host LIKE pattern GROUP BY 1"""
 
 _ALL = {
@@ -120,7 +112,6 @@ _ALL = {
     "extract_json": (extract_json, EXTRACT_SQL),
     "search_hits": (search_hits, "SELECT doc_id FROM documents WHERE contains(lower(text), 'thing') OR contains(lower(source), 'thing')"),
     "dir_prefix_tree": (dir_prefix_tree, DIRS_SQL),
-    "import_lookup_first": (import_lookup_first, IMPORT_SQL),
 }
 QUERIES = {k: f for k, (f, _) in _ALL.items()}
 ORACLES = {k: sql for k, (_, sql) in _ALL.items()}

@@ -1,102 +1,13 @@
-"""Queries over the scope tree, bound to region > nation > customer > order > line."""
+"""Queries over layouts and layers."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrane.operators import layout
 from terrane.plans.tables import table
 
 
-def scope_tree(spark, sf_dir):
-    """Depth, parent and subtree size of every node of the five-level tree; unrolled, as the depth is fixed."""
-    region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
-    customer, orders, line = (table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem"))
-    per_order = line.groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    o = orders.join(per_order, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", "o_custkey", (F.coalesce("n", F.lit(0)) + 1).alias("size"))
-    per_cust = o.groupBy("o_custkey").agg(F.sum("size").alias("n"))
-    c = customer.join(per_cust, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "c_nationkey", (F.coalesce("n", F.lit(0)) + 1).alias("size"))
-    per_nation = c.groupBy("c_nationkey").agg(F.sum("size").alias("n"))
-    n = nation.join(per_nation, F.col("n_nationkey") == F.col("c_nationkey"), "left").select("n_nationkey", "n_regionkey", (F.coalesce("n", F.lit(0)) + 1).alias("size"))
-    per_region = n.groupBy("n_regionkey").agg(F.sum("size").alias("n"))
-    r = region.join(per_region, F.col("r_regionkey") == F.col("n_regionkey"), "left").select("r_regionkey", (F.coalesce("n", F.lit(0)) + 1).alias("size"))
-
-    def node(df, prefix, key, parent_prefix, parent, depth, size):
-        up = F.concat(F.lit(parent_prefix), F.col(parent).cast("string")) if parent else F.lit(None).cast("string")
-        return df.select(F.concat(F.lit(prefix), F.col(key).cast("string")).alias("node_id"), up.alias("parent_id"), F.lit(depth).alias("depth"), F.col(size).cast("long").alias("subtree_size") if size else F.lit(1).cast("long").alias("subtree_size"))
-
-    lines = line.select(F.concat(F.lit("l:"), F.col("l_orderkey").cast("string"), F.lit(":"), F.col("l_linenumber").cast("string")).alias("node_id"), F.concat(F.lit("o:"), F.col("l_orderkey").cast("string")).alias("parent_id"), F.lit(4).alias("depth"), F.lit(1).cast("long").alias("subtree_size"))
-    return (
-        node(r, "r:", "r_regionkey", "", None, 0, "size")
-        .unionByName(node(n, "n:", "n_nationkey", "r:", "n_regionkey", 1, "size"))
-        .unionByName(node(c, "c:", "c_custkey", "n:", "c_nationkey", 2, "size"))
-        .unionByName(node(o, "o:", "o_orderkey", "c:", "o_custkey", 3, "size"))
-        .unionByName(lines)
-    )
-
-
-SCOPE_TREE_SQL = """
-WITH o AS (SELECT o_orderkey, o_custkey, 1 + count(l_orderkey) AS size FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2),
-c AS (SELECT c_custkey, c_nationkey, 1 + coalesce(sum(o.size), 0) AS size FROM customer LEFT JOIN o ON o_custkey = c_custkey GROUP BY 1, 2),
-n AS (SELECT n_nationkey, n_regionkey, 1 + coalesce(sum(c.size), 0) AS size FROM nation LEFT JOIN c ON c_nationkey = n_nationkey GROUP BY 1, 2),
-r AS (SELECT r_regionkey, 1 + coalesce(sum(n.size), 0) AS size FROM region LEFT JOIN n ON n_regionkey = r_regionkey GROUP BY 1)
-SELECT 'r:' || r_regionkey AS node_id, CAST(NULL AS VARCHAR) AS parent_id, 0 AS depth, CAST(size AS BIGINT) AS subtree_size FROM r
-UNION ALL SELECT 'n:' || n_nationkey, 'r:' || n_regionkey, 1, CAST(size AS BIGINT) FROM n
-UNION ALL SELECT 'c:' || c_custkey, 'n:' || c_nationkey, 2, CAST(size AS BIGINT) FROM c
-UNION ALL SELECT 'o:' || o_orderkey, 'c:' || o_custkey, 3, CAST(size AS BIGINT) FROM o
-UNION ALL SELECT 'l:' || l_orderkey || ':' || l_linenumber, 'o:' || l_orderkey, 4, CAST(1 AS BIGINT) FROM lineitem"""
-
-
-def children_ordered(spark, sf_dir):
-    """Lines of each order with their place among their siblings."""
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    return line.withColumn("ord", F.row_number().over(w).cast("long"))
-
-
-CHILDREN_SQL = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS ord FROM lineitem"
-
-
-def cross_refs_out(spark, sf_dir):
-    """Per order, the parts its lines call: bag semantics, counted."""
-    line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
-    label = F.concat(F.lit("→ "), F.col("p_name"), F.lit(" in "), F.col("p_brand"))
-    return line.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey", "l_partkey", label.alias("label")).agg(F.count("*").alias("n"))
-
-
-def cross_refs_in(spark, sf_dir):
-    """Per part, the orders that call it."""
-    line, part, orders = (table(spark, sf_dir, t) for t in ("lineitem", "part", "orders"))
-    calls = line.join(part.select("p_partkey"), F.col("l_partkey") == F.col("p_partkey")).join(orders.select("o_orderkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
-    label = F.concat(F.lit("← "), F.col("o_orderkey").cast("string"), F.lit(" in "), F.col("o_orderpriority"))
-    return calls.groupBy("p_partkey", label.alias("label")).agg(F.count("*").alias("n"))
-
-
-REFS_OUT_SQL = "SELECT l_orderkey, l_partkey, '→ ' || p_name || ' in ' || p_brand AS label, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL"
-REFS_IN_SQL = "SELECT p_partkey, '← ' || o_orderkey || ' in ' || o_orderpriority AS label, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL"
-
-
-def project_tree(spark, sf_dir):
-    """Brand > type > part for large parts; empty types and brands drop out."""
-    part = table(spark, sf_dir, "part").filter("p_size >= 45")
-    b = part.select(F.concat(F.lit("b:"), "p_brand").alias("id"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth")).distinct()
-    t = part.select(F.concat(F.lit("t:"), "p_brand", F.lit("/"), "p_type").alias("id"), F.concat(F.lit("b:"), "p_brand").alias("parent"), F.lit(1).alias("depth")).distinct()
-    p = part.select(F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("id"), F.concat(F.lit("t:"), "p_brand", F.lit("/"), "p_type").alias("parent"), F.lit(2).alias("depth"))
-    return b.unionByName(t).unionByName(p)
-
-
-PROJECT_SQL = """
-WITH f AS (SELECT * FROM part WHERE p_size >= 45)
-SELECT DISTINCT 'b:' || p_brand AS id, CAST(NULL AS VARCHAR) AS parent, 0 AS depth FROM f
-UNION ALL SELECT DISTINCT 't:' || p_brand || '/' || p_type, 'b:' || p_brand, 1 FROM f
-UNION ALL SELECT 'p:' || p_partkey, 't:' || p_brand || '/' || p_type, 2 FROM f"""
-
-
-def symbol_picker(spark, sf_dir):
-    return table(spark, sf_dir, "part").filter(F.col("p_type").isin("ECONOMY", "PROMO")).select("p_partkey", "p_name").orderBy("p_partkey")
-
-
 def longest_path_layers(spark, sf_dir):
     """Layers of a DAG with skip edges: nation n points to 2n + 1, 2n + 2 and n + 5; a layer is the longest path to a node."""
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("a"))
@@ -154,12 +65,6 @@ LIFT_SQL = """
 SELECT a, b, min(priority) AS priority FROM (SELECT o_custkey AS a, l_suppkey AS b, 1 AS priority FROM lineitem JOIN orders ON l_orderkey = o_orderkey UNION ALL SELECT o_custkey, o_orderkey % 50, 0 FROM orders) WHERE a <> b GROUP BY 1, 2"""
 
 _ALL = {
-    "scope_tree": (scope_tree, SCOPE_TREE_SQL),
-    "children_ordered": (children_ordered, CHILDREN_SQL),
-    "cross_refs_out": (cross_refs_out, REFS_OUT_SQL),
-    "cross_refs_in": (cross_refs_in, REFS_IN_SQL),
-    "project_tree": (project_tree, PROJECT_SQL),
-    "symbol_picker": (symbol_picker, "SELECT p_partkey, p_name FROM part WHERE p_type IN ('ECONOMY', 'PROMO')"),
     "longest_path_layers": (longest_path_layers, LAYERS_SQL),
     "tree_positions": (tree_positions, f"WITH {_POS_SQL} SELECT * FROM p"),
     "scope_regions": (scope_regions, REGIONS_SQL),

@@ -52,15 +52,6 @@ c AS (SELECT *, (row_number() OVER (PARTITION BY user_id, island ORDER BY ts, ev
 SELECT user_id, min(event_id) AS first_id, max(event_id) AS last_id, count(*) AS n FROM c GROUP BY user_id, island, pair"""
 
 
-def sequentialize(spark, sf_dir):
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
-    return windows.chain(line, "l_orderkey", ["l_linenumber"], "l_linenumber")
-
-
-SEQ_SQL = "SELECT l_orderkey, p AS from_node, l_linenumber AS to_node FROM (SELECT *, lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS p FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)) WHERE p IS NOT NULL"
-
-
-
 def kind_layer_map(spark, sf_dir):
     flag = F.col("l_returnflag")
     kind = F.when(flag == "A", "call").when(flag == "N", F.when(F.col("l_linestatus") == "F", "variable").otherwise("function")).when(flag == "R", "return").otherwise("statement")
@@ -92,16 +83,6 @@ SELECT event_id, CASE WHEN kind = 'else' THEN 'else' WHEN kind = 'call' THEN 'В
   CASE WHEN kind IN ('if', 'loop', 'return') AND c <> '' THEN c END AS summary FROM e"""
 
 
-def effect_classify(spark, sf_dir):
-    host = F.regexp_extract("url", r"^https?://([^/]+)", 1)
-    p = table(spark, sf_dir, "pages").select("page_id", host.alias("host"), "url")
-    return p.select("page_id", F.when(F.col("host").startswith("m."), "network").when(F.col("host").startswith("blog."), "log").when(F.col("url").contains("?"), "database").when(F.col("url").endswith(".html"), "file_system").otherwise("other").alias("effect"))
-
-
-EFFECT_SQL = r"""SELECT page_id, CASE WHEN starts_with(host, 'm.') THEN 'network' WHEN starts_with(host, 'blog.') THEN 'log' WHEN contains(url, '?') THEN 'database' WHEN ends_with(url, '.html') THEN 'file_system' ELSE 'other' END AS effect
-FROM (SELECT page_id, url, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages)"""
-
-
 def _plan(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     files = docs.select(F.col("doc_id").alias("path"), T.content_hash(F.col("text")).alias("hash"), F.lit("k1").alias("cache_key"))
@@ -131,14 +112,6 @@ def plan_totals(spark, sf_dir):
 TOTALS_SQL = f"SELECT count(*) AS total, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'ready') AS cached FROM ({_PLAN_SQL})"
 
 
-def union_models(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit("go").alias("language"))
-    return c.unionByName(table(spark, sf_dir, "supplier").select(F.lit("ts").alias("language"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("id")))
-
-
-UNION_SQL = "SELECT c_custkey AS id, c_name AS name, 'go' AS language FROM customer UNION ALL BY NAME SELECT 'ts' AS language, s_name AS name, s_suppkey AS id FROM supplier"
-
-
 def path_union(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("path")).union(table(spark, sf_dir, "customer").select("c_custkey")).distinct()
 
@@ -152,13 +125,10 @@ def _all():
         "greedy_windows": (greedy_windows, GREEDY_SQL),
         "done_set": (done_set, DONE_SQL),
         "adjacent_merge_pairwise": (adjacent_merge_pairwise, MERGE_SQL),
-        "sequentialize": (sequentialize, SEQ_SQL),
         "kind_layer_map": (kind_layer_map, KIND_SQL),
         "label_builder": (label_builder, LABEL_SQL),
-        "effect_classify": (effect_classify, EFFECT_SQL),
         "update_plan": (update_plan, _PLAN_SQL),
         "plan_totals": (plan_totals, TOTALS_SQL),
-        "union_models": (union_models, UNION_SQL),
         "path_union": (path_union, "SELECT o_custkey AS path FROM orders UNION SELECT c_custkey FROM customer"),
         "label_except": (label_except, "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels"),
     }
