@@ -8,10 +8,12 @@ def odd_dir(spark, tmp_path_factory):
     """Tables with nulls in every column, empty and long texts, ties, repeated rows and extra columns with clashing names."""
     root = tmp_path_factory.mktemp("odd")
     long = " ".join(f"word{i} of the" for i in range(9000))
+    dense = "漢字仮名、文書。" * 3000
     rows = [(i, f"{EN} Number {i} stands\nalone {i * 7}.", "en", f"src{i % 3}", 1) for i in range(40)]
     rows += [(100, EN * 3, "en", "src0", 1), (101, EN * 3, "en", "src1", 1), (102, EN * 3 + " end", "en", "src1", 1)]
     rows += [(200, None, "en", "src0", 1), (201, "", "de", "src0", 0), (202, "   \n\t ", None, "src12", 0), (203, "x", "fr", None, 1), (204, long, "en", "src19", 9)]
     rows += [(None, EN, "en", "src1", None), (None, None, None, None, None), (205, "ünï 漢字 🙂 \x00 z", "zz", "srcX", None), (300, EN + " twice", "en", "src2", 1), (300, EN + " twice", "en", "src2", 1)]
+    rows += [(206, dense, "ja", "src4", 1), (207, "un-broken," * 4000, "en", "src4", 1)]
     rows = [(*r, "clash", 5, [1]) for r in rows]
     df = spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG, k STRING, rank INT, _d ARRAY<INT>")
     df.repartition(3).write.parquet(f"{root}/documents.parquet")

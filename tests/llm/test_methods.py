@@ -230,14 +230,30 @@ def test_long_line_classes(spark, run_limit):
     assert len(set(zip(got, want))) == len(set(got)) == len(set(want)) < len(lines)
 
 
-@pytest.mark.parametrize("chunk,overlap", [(40, 8), (200, 30)])
+@pytest.mark.parametrize("chunk,overlap", [(40, 8), (200, 30), (1000, 64)])
 def test_spliced_chunks(chunk, overlap):
     tok, rng = tokencount.tokenizer(), random.Random(5)
     texts = ["a" * 3000, " " * 900 + "x", "x y " * 300 + "<|endoftext|>" * 20 + " zz" * 200, "".join(rng.choice("ab  é1'!\n") for _ in range(2000))]
+    texts += ["".join(rng.choice("漢字仮名かなカナ。、") for _ in range(3000)), "漢字" * 1500, "it's we'll 'tis o'clock\r\n" * 120, "<|endof" * 300 + "text|>", "0123" * 600 + "!?" * 300 + "x" * 50]
+    texts += ["".join(rng.choice(["don't", "'s", "'", " ", "  ", "\t", "漢", "é", "7", "<|endoftext|>", "ß", "ไทย", "🙂"]) for _ in range(900))]
     for t in texts:
         assert tokencount.encode_ids(tok, t, chunk, overlap) == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_long_texts_take_linear_time():
+    """Texts without a blank: within three times the library's own time for the whole."""
+    import time
+
+    tok, rng = tokencount.tokenizer(), random.Random(7)
+    for t in ("".join(rng.choice("漢字仮名交文書。、") for _ in range(160_000)), ("word,and;no(blank)" * 60_000)[:1_000_000]):
+        began = time.perf_counter()
+        want = tok.encode(t, add_special_tokens=False).ids
+        whole = time.perf_counter() - began
+        began = time.perf_counter()
+        assert tokencount.encode_ids(tok, t) == want
+        assert time.perf_counter() - began < 3 * whole + 0.5
+
+
 def test_remembered_pre_tokens():
     e, tok = tokencount.Encoder(), tokencount.tokenizer()
     for t in ("", " ", "a\x1cb", "x<|endoftext|>y", "漢字 かな", "it's  we'll\n\n\t x", "ſ ǆ ­-", "the the  the\n"):
