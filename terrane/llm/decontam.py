@@ -1,15 +1,17 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
 Words are lower-cased runs of letters and digits. A seed is an n-gram of a test item that chance would bring at most
-RARE times in a million corpus words, or once in the corpus, by the counts of its words; each item keeps its FEWEST rarest in any case.
-So a passage that was leaked a million times still has its seeds: rarity is that of its words together, not of the
+RARE times in a million corpus words, by the counts of its words (with PRIOR words more, so that little text makes none look common),
+whatever the corpus's size; besides, of each SPREAD n-grams in a row
+the rarest is a seed in any case, so an item of common words has seeds all along that one edit doesn't spoil together. So a passage that was leaked a million times still has its seeds: rarity is that of its words together, not of the
 passage. Each seed hit opens a window of about three item lengths around the item's place in the document, and local
 alignment (match 2, mismatch and gap -1) scores it; the score is a share of the best possible, 2 for each item word.
 
 The corpus is never shuffled: it is scanned twice, once to count the items' words and once to seed and align. The
 items' index is broadcast in shards of at most SHARD_BYTES of item text; more text means more scans, not a larger index.
 
-Defined results: items of fewer than MIN_ITEM words match nothing (chance can't be told from a leak), nor do null texts;
+Defined results: items of fewer than MIN_ITEM words must be there word for word, those of fewer than N words as the whole of a text
+(chance can't be told from a leak otherwise); null texts and items without words match nothing;
 a null id is reported as null; repeated rows are reported each; empty tables give no rows; whole texts are read.
 """
 
@@ -28,11 +30,11 @@ from pyspark.sql import functions as F
 from terrane.llm.wordhash import Batch, batches, letter_map, mix
 
 N, MIN_ITEM = 3, 5
-RARE, FEWEST = 0.01, 4
+RARE, SPREAD, PRIOR = 0.01, 4, 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, 1
 THRESHOLD = 0.5
 SHARD_BYTES = 8 << 20
-AT_ONCE = 256
+AT_ONCE, CELLS = 256, 1 << 20
 _MAP = letter_map()
 _PAD, _NONE = np.uint64(1), np.uint64(2)
 
@@ -59,6 +61,7 @@ class Index:
     at: np.ndarray
     item: np.ndarray
     place: np.ndarray
+    tiny: dict  # items of fewer than N words, by their hashes
 
     @property
     def sieve(self) -> np.ndarray:
@@ -70,21 +73,23 @@ class Index:
 def build_index(ids: list, texts: list[str | None], counts: dict[int, int], total: int) -> Index:
     b = Batch(texts, _MAP)
     rows: list[tuple[int, int, int]] = []
-    share = np.array([max(counts.get(int(h), 0), 1) for h in b.hashes], np.float64) / max(total, 1)
+    tiny: dict[tuple[int, ...], list[int]] = {}
+    share = np.array([max(counts.get(int(h), 0), 1) for h in b.hashes], np.float64) / (total + PRIOR)
     for i in range(len(ids)):
         lo, hi = b.first[i], b.first[i + 1]
-        if hi - lo < MIN_ITEM:
+        if hi - lo < N:
+            if hi > lo:
+                tiny.setdefault(tuple(b.hashes[lo:hi].tolist()), []).append(i)
             continue
         g = _grams(b.hashes[lo:hi])
         p = np.prod([share[lo + k : lo + k + len(g)] for k in range(N)], axis=0)
-        take = np.flatnonzero((p * 1e6 <= RARE) | (p * total <= 1))
-        if len(take) < FEWEST:
-            take = np.argsort(p, kind="stable")[:FEWEST]
-        rows += [(int(g[j]), i, int(j)) for j in take]
+        own = p * 1e6 <= RARE
+        own[[k + int(np.argmin(p[k : k + SPREAD])) for k in range(0, len(p), SPREAD)]] = True
+        rows += [(int(g[j]), i, int(j)) for j in np.flatnonzero(own)]
     rows.sort()
     h = np.array([r[0] for r in rows], np.uint64)
     seeds, start = np.unique(h, return_index=True)
-    return Index(ids, b.hashes, b.first, seeds, np.append(start, len(rows)), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64))
+    return Index(ids, b.hashes, b.first, seeds, np.append(start, len(rows)), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), tiny)
 
 
 def align(items: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,6 +113,11 @@ def align(items: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def find_in(index: Index, sieve: np.ndarray, texts: list[str | None], threshold: float = THRESHOLD) -> Iterator[tuple[int, int, float, int, int]]:
     """(text, item, score, first byte, end byte) of every aligned span; spans of one item in a text don't overlap."""
     b = Batch(texts, _MAP)
+    if index.tiny:
+        for t in np.flatnonzero((np.diff(b.first) > 0) & (np.diff(b.first) < N)).tolist():
+            lo, hi = b.first[t], b.first[t + 1]
+            for i in index.tiny.get(tuple(b.hashes[lo:hi].tolist()), []):
+                yield t, i, 1.0, int(b.starts[lo] - b.base[t]), int(b.ends[hi - 1] - b.base[t])
     g = _grams(b.hashes)
     hit = np.flatnonzero(sieve[(g & np.uint64((1 << 20) - 1)).astype(np.int64)])
     s = np.searchsorted(index.seeds, g[hit])
@@ -137,15 +147,21 @@ def find_in(index: Index, sieve: np.ndarray, texts: list[str | None], threshold:
     lo, hi = np.maximum(lo - slack, b.first[text]), np.minimum(hi + length + slack, b.first[text + 1])
     found: list[tuple[int, int, float, int, int]] = []
     order = np.argsort(length, kind="stable")
-    for at in range(0, len(order), AT_ONCE):
-        part = order[at : at + AT_ONCE]
+    at = 0
+    while at < len(order):
+        # So many that the matrices of the longest of them stay bounded.
+        many = AT_ONCE
+        while many > 1 and many * int(length[order[min(at + many, len(order)) - 1]]) > CELLS:
+            many //= 2
+        part = order[at : at + many]
+        at += many
         size, span = int(length[part].max()), int((hi[part] - lo[part]).max())
         its, wins = np.full((len(part), size), _PAD), np.full((len(part), span), _NONE)
         for r, w in enumerate(part):
             its[r, : length[w]] = index.words[index.first[item[w]] : index.first[item[w] + 1]]
             wins[r, : hi[w] - lo[w]] = b.hashes[lo[w] : hi[w]]
         best, end = align(its, wins)
-        good = np.flatnonzero(best >= threshold * MATCH * length[part])
+        good = np.flatnonzero(best >= np.where(length[part] < MIN_ITEM, 1.0, threshold) * MATCH * length[part])
         if not len(good):
             continue
         back_i, back_w = np.full((len(good), size), _PAD), np.full((len(good), span), _NONE)

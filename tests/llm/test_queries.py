@@ -89,6 +89,53 @@ def test_op4(spark, odd_dir, tmp_path):
     assert {(r["doc_id"], r["item_id"]) for r in many.collect()} == got
 
 
+def test_op4_short_items(spark):
+    """Items of three and four words are found word for word, shorter ones as whole texts."""
+    from terrane.llm import decontam
+
+    items = spark.createDataFrame([(1, "Four rare quirky zebras"), (2, "tiny answer"), (3, "one two three"), (4, "")], "item_id LONG, text STRING")
+    texts = [(1, "we saw four rare, quirky zebras there"), (2, "four rare zebras there"), (3, "Tiny answer."), (4, "no tiny answer here"), (5, "and one two three four"), (6, "one two"), (7, "")]
+    got = decontam.leaks(spark.createDataFrame(texts, "doc_id LONG, text STRING"), items).collect()
+    assert {(r["doc_id"], r["item_id"], r["score"]) for r in got} == {(1, 1, 1.0), (3, 2, 1.0), (5, 3, 1.0)}
+
+
+def _smith_waterman(a, b):
+    best, row = 0, [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(max(0, row[j] + (2 if x == y else -1), row[j + 1] - 1, new[j] - 1))
+        best, row = max(best, *new), new
+    return best
+
+
+def test_op4_recall(spark):
+    """Against alignment of every item with every whole text: no clean text is named, and of edited copies nine tenths at least are found, in a corpus of common words, too."""
+    import random
+
+    from terrane.llm import decontam
+
+    rng = random.Random(31)
+    common = [f"c{i}" for i in range(40)]
+    rare = [f"r{i}" for i in range(4000)]
+    word = lambda: rng.choice(common) if rng.random() < 0.6 else rng.choice(rare)
+    items = [[word() for _ in range(rng.randint(12, 40))] for _ in range(30)] + [[rng.choice(common) for _ in range(25)] for _ in range(5)]
+    texts = []
+    for k in range(160):
+        body = [word() for _ in range(120)]
+        if k % 2:
+            copy = list(rng.choice(items))
+            for p in range(rng.randrange(6), len(copy), 6):
+                copy[p] = "edited"
+            body[40:40] = copy
+        texts.append(body)
+    want = {(d, i) for d, t in enumerate(texts) for i, x in enumerate(items) if _smith_waterman(x, t) >= 0.5 * 2 * len(x)}
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id LONG, text STRING")
+    found = decontam.leaks(df, spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id LONG, text STRING"))
+    got = {(r["doc_id"], r["item_id"]) for r in found.collect()}
+    assert got <= want and len(want) >= 70 and len(got) >= 0.9 * len(want)
+
+
 def test_op5_round_trip(spark, odd_dir):
     out = sorted(queries.op5_token_file(spark, odd_dir).collect(), key=lambda r: r["start"])
     tok, start, want = tokenizer(), 0, Counter()
@@ -162,6 +209,23 @@ def test_op7_columns(spark, tmp_path):
     assert sum(n for _, _, n, _ in want) > 20
 
 
+def test_op6_base(spark, odd_dir, wide_dir):
+    """The columns that counts alone decide, exactly."""
+    import math
+    import re
+
+    for where in (odd_dir, wide_dir):
+        rows = []
+        for d in docs(spark, where):
+            low = "".join(c.lower() if "A" <= c <= "Z" else c for c in d[1] or "")
+            rows.append((d[0], d[0] is not None and zlib.crc32(str(d[0]).encode()) % 7 == 2, [*re.findall(r"[^\x20\x09-\x0d]+", low), None]))
+        count = Counter(w for _, held, ws in rows if not held for w in ws)
+        n, v = sum(count.values()), len(count)
+        want = Counter((k, held, len(ws), sum(count[w] > 0 for w in ws), n, round(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in ws), 6)) for k, held, ws in rows)
+        out = queries.op6_lm_scoring(spark, where).collect()
+        assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in out) == want
+
+
 def test_op8_scores(spark, odd_dir):
     for r in queries.op8_toxicity(spark, odd_dir).collect():
         assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3)
