@@ -45,10 +45,25 @@ def stage_dir(spark: SparkSession, what: str) -> str:
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _own_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Deletes the shuffle files of a step when it is done, which Spark else keeps until the driver's memory is cleaned.
+
+    Shuffles are numbered in order; those numbered meanwhile are the step's. One that another thread's job still wants is made anew by
+    Spark, as after the loss of an executor."""
+    context = spark.sparkContext._jsc.sc()
+    first = context.newShuffleId()
+    yield
+    if (cleaner := context.cleaner()).isDefined():
+        for k in range(first + 1, context.newShuffleId()):
+            cleaner.get().doCleanupShuffle(k, False)
+
+
 def settle(df: DataFrame, what: str, outer: bool = False) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts the lineage and survives lost executors. It lasts as long as the scope around, or (outer) the one around that."""
     path = stage_dir(df.sparkSession, what)
-    df.write.parquet(path)
+    with _own_shuffles(df.sparkSession):
+        df.write.parquet(path)
     if len(_scopes) > outer:
         _scopes[-1 - outer].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

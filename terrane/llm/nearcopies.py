@@ -4,7 +4,7 @@ Two texts are linked if their sets of SHINGLE-word shingles (words lower-cased A
 have a Jaccard similarity of 0.8 at least, or if their fingerprints are (see simhash). Each text gives its smallest shingle
 hashes, so many that a fifth of its shingles cannot hold them all: any pair of that similarity shares one. Shingles that are
 frequent in a sample come last in that order, whatever the sample: order decides only how many texts meet. Who meets in a key is
-first compared with the key's first and last document; then whoever is in another component still. A pair is sifted before
+first compared with the key's first document, then with its last; then whoever is in another component still. A pair is sifted before
 any text moves: a bit for each bucket of shingle hashes says whether an odd number falls in it, and two sets differ in at least as
 many shingles as bits. With twice as many buckets as shingles few pairs below the similarity pass; those that do are verified on
 whole sets.
@@ -196,12 +196,13 @@ def _stream(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held, size = [], 0
     for f in frames:
         held.append(f)
-        size += len(f)
-        if size >= 1 << 15:
+        size += len(f) + int(f["s"].str.len().sum()) // 512
+        if size >= 1 << 14:
             whole = pd.concat(held, ignore_index=True)
             open_key = (whole["key"] == whole["key"].iloc[-1]).to_numpy()
             yield _run_pairs(whole[~open_key])
             held, size = [whole[open_key]], int(open_key.sum())
+            held[0] = held[0].copy()  # a view would keep the whole
     if held:
         yield _run_pairs(pd.concat(held, ignore_index=True))
 
@@ -243,11 +244,14 @@ def classes(docs: DataFrame, run_limit: int = RUN, block: int = BLOCK) -> DataFr
     sketches = settle(_sketches(docs.join(met.select("k").distinct(), "k", "left_semi")).dropDuplicates(["k"]), "near-sketches")
 
     def with_end(end: str) -> DataFrame:
+        """Pairs of the open keys' rows with the first or last one."""
         pairs = met.filter(f"c <> {end}.c and 5 * least(n, {end}.n) >= 4 * greatest(n, {end}.n)")
         less, more = F.least("k", f"{end}.k"), F.greatest("k", f"{end}.k")
         return pairs.select(less.alias("a"), more.alias("b"), F.least("c", f"{end}.c").alias("ca"), F.greatest("c", f"{end}.c").alias("cb"), (F.col("n") + F.col(f"{end}.n")).alias("nn"))
 
-    edges = _similar(_sifted(with_end("first").unionByName(with_end("last")), sketches), docs)
+    edges = _similar(_sifted(with_end("first"), sketches), docs)
+    met = open_keys(_relabelled(met.select("key", "k", "n", "c"), edges))
+    edges = edges.unionByName(_similar(_sifted(with_end("last"), sketches), docs))
     rest = open_keys(_relabelled(met.select("key", "k", "n", "c"), edges))
     if not rest.isEmpty():
         edges = edges.unionByName(_similar(_all_pairs(rest.drop("first", "last").join(sketches, "k"), run_limit, block), docs))
