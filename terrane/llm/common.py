@@ -66,7 +66,23 @@ def settle(df: DataFrame, what: str, outer: bool = False) -> DataFrame:
         df.write.parquet(path)
     if len(_scopes) > outer:
         _scopes[-1 - outer].append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def forget(*settled: DataFrame) -> None:
+    """Deletes tables that settle gave, before their scope ends; nothing may read them after."""
+    for df in settled:
+        _delete(df.sparkSession, df._staged)
+        for scope in _scopes:
+            if df._staged in scope:
+                scope.remove(df._staged)
 
 
 @contextmanager
@@ -76,10 +92,8 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        context = spark.sparkContext
         for path in _scopes.pop():
-            where = context._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
 
 
 def stratum(column: Column) -> Column:

@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrane.llm import simhash
-from terrane.llm.common import scratch, settle
+from terrane.llm.common import forget, scratch, settle
 from terrane.llm.wordhash import Batch, batches, mix, space_map
 
 SHINGLE = 5
@@ -147,11 +147,13 @@ def _sifted(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
     pairs = settle(pairs.distinct(), "near-pairs")
     x, y = sketches.select(F.col("k").alias("a"), F.col("s").alias("x")), sketches.select(F.col("k").alias("b"), F.col("s").alias("y"))
-    return settle(pairs.join(x, "a").join(y, "b").mapInPandas(run, "a long, b long, ca long, cb long"), "near-sifted")
+    out = settle(pairs.join(x, "a").join(y, "b").mapInPandas(run, "a long, b long, ca long, cb long"), "near-sifted")
+    forget(pairs)
+    return out
 
 
 def _similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """pairs: a, b (nodes), ca, cb (their components). (a, b): components of the pairs whose similarity is 0.8 at least."""
+    """pairs: a, b (nodes), ca, cb (their components), settled and used up. (a, b): components of the pairs whose similarity is 0.8 at least."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -164,7 +166,9 @@ def _similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
     texts = settle(docs.join(wanted, "k", "left_semi").dropDuplicates(["k"]), "near-texts")
     rows = pairs.join(texts.withColumnsRenamed({"k": "a"}), "a").join(texts.withColumnsRenamed({"k": "b", "x": "y"}), "b")
-    return settle(rows.select("ca", "cb", "x", "y").mapInPandas(run, "a long, b long").distinct(), "near-links")
+    out = settle(rows.select("ca", "cb", "x", "y").mapInPandas(run, "a long, b long").distinct(), "near-links")
+    forget(pairs, texts)
+    return out
 
 
 def _relabelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
@@ -217,7 +221,10 @@ def _all_pairs(rest: DataFrame, run_limit: int, block: int) -> DataFrame:
         dealt = crowd.withColumn("i", F.pmod(F.xxhash64("k"), blocks).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
         dealt = dealt.select(*names, F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
         pairs = pairs.unionByName(dealt.groupBy("key", "lo", "hi").applyInPandas(lambda f: _run_pairs(f[names]), "a long, b long, ca long, cb long"))
-    return settle(settle(pairs, "near-all").distinct(), "near-rest")
+    every = settle(pairs, "near-all")
+    out = settle(every.distinct(), "near-rest")
+    forget(every)
+    return out
 
 
 def classes(docs: DataFrame, run_limit: int = RUN, block: int = BLOCK) -> DataFrame:
@@ -236,9 +243,14 @@ def classes(docs: DataFrame, run_limit: int = RUN, block: int = BLOCK) -> DataFr
         row = F.struct("k", "n", "c")
         kept = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m"), F.min(row).alias("first"), F.max(row).alias("last"))
         kept = settle(kept.filter("lo <> hi").drop("lo", "hi"), "near-open-keys")
-        return settle(rows.join(kept, "key"), "near-open")
+        out = settle(rows.join(kept, "key"), "near-open")
+        forget(kept)
+        return out
 
-    met = open_keys(settle(met.join(found, "k"), "near-met-in"))
+    placed = settle(met.join(found, "k"), "near-met-in")
+    forget(met)
+    met = open_keys(placed)
+    forget(placed)
     if met.isEmpty():
         return found
     sketches = settle(_sketches(docs.join(met.select("k").distinct(), "k", "left_semi")).dropDuplicates(["k"]), "near-sketches")
@@ -250,9 +262,11 @@ def classes(docs: DataFrame, run_limit: int = RUN, block: int = BLOCK) -> DataFr
         return pairs.select(less.alias("a"), more.alias("b"), F.least("c", f"{end}.c").alias("ca"), F.greatest("c", f"{end}.c").alias("cb"), (F.col("n") + F.col(f"{end}.n")).alias("nn"))
 
     edges = _similar(_sifted(with_end("first"), sketches), docs)
-    met = open_keys(_relabelled(met.select("key", "k", "n", "c"), edges))
+    before, met = met, open_keys(_relabelled(met.select("key", "k", "n", "c"), edges))
+    forget(before)
     edges = edges.unionByName(_similar(_sifted(with_end("last"), sketches), docs))
     rest = open_keys(_relabelled(met.select("key", "k", "n", "c"), edges))
+    forget(met)
     if not rest.isEmpty():
         edges = edges.unionByName(_similar(_all_pairs(rest.drop("first", "last").join(sketches, "k"), run_limit, block), docs))
     return _relabelled(found, edges)
