@@ -46,7 +46,7 @@ def stage_dir(spark: SparkSession, what: str) -> str:
 
 
 @contextmanager
-def _own_shuffles(spark: SparkSession) -> Iterator[None]:
+def own_shuffles(spark: SparkSession) -> Iterator[None]:
     """Deletes the shuffle files of a step when it is done, which Spark else keeps until the driver's memory is cleaned.
 
     Shuffles are numbered in order; those numbered meanwhile are the step's. One that another thread's job still wants is made anew by
@@ -62,7 +62,7 @@ def _own_shuffles(spark: SparkSession) -> Iterator[None]:
 def settle(df: DataFrame, what: str, outer: bool = False) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts the lineage and survives lost executors. It lasts as long as the scope around, or (outer) the one around that."""
     path = stage_dir(df.sparkSession, what)
-    with _own_shuffles(df.sparkSession):
+    with own_shuffles(df.sparkSession):
         df.write.parquet(path)
     if len(_scopes) > outer:
         _scopes[-1 - outer].append(path)

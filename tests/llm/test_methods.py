@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 import xxhash
 
-from terrane.llm import linededup, mixing, nearcopies, simhash, tokencount, tokenfile, toxicity
+from terrane.llm import linededup, maxent, mixing, nearcopies, simhash, tokencount, tokenfile, toxicity
 from terrane.llm.wordhash import Batch, letter_map, space_map
 
 
@@ -297,3 +297,35 @@ def test_water_levels(spark):
     got = {r["_s"]: r["quota"] for r in mixing.quotas(leaves, mix).collect()}
     # 605 in all; b holds 200 of its 302 only, so a gets 405; there y gives 10, and its sibling takes the rest.
     assert got == {"=b1": 100, "=b2": 100, "=a2": 10, "=a1": 395}
+
+
+def test_maxent_is_a_distribution():
+    """Over all words of the table and one unknown word for each tail class, the probabilities after any history add up to 1."""
+    rng = np.random.default_rng(5)
+    made = [f"w{i}{'aenz7%'[i % 6]}" for i in range(900)]
+    t = maxent.Tokens([" ".join(rng.choice(made, 4000, p=(w := 1 / np.arange(1, 901)) / w.sum()))])
+    h, first, n = np.unique(t.h, return_index=True, return_counts=True)
+    top = pd.DataFrame({"h": h.view(np.int64), "c": n, "tail": t.tail[first]}).sort_values(["c", "h"], ascending=[False, True])
+    top["member"] = np.where(np.arange(len(top)) < maxent.HEAD, np.arange(len(top)), -1)
+    groups = top.assign(g=maxent.group(h := top["h"].to_numpy().view(np.uint64), top["tail"].to_numpy()) % maxent.MEMBERS, one=top["c"] == 1).groupby(["tail", "g"]).agg(n=("c", "sum"), once=("one", "sum")).reset_index()
+    table = maxent.figures(top, list(groups.itertuples(index=False, name=None)), int(n.sum()), len(top), 1)
+    assert table.count.sum() == n.sum() and (table.count >= 0).all() and (table.once >= 0).all()
+    w = maxent.first_weights(table)
+    w.rows[:] = rng.normal(0, 0.3, w.rows.shape)
+
+    seen = table.units(table.h, np.array([dict(zip(top["h"], top["tail"]))[x] for x in table.h.view(np.int64)]), np.arange(len(table.h)))
+    total = 0.0
+    z = maxent._sum(w.rows, w.bias, np.array([3]), np.array([5]), np.array([7]))[0]
+    p_class = np.exp(z - np.log(np.exp(z).sum()))
+    for unit, c in zip(seen, table.c):
+        y, k = divmod(int(unit), maxent.MEMBERS)
+        x = w.words[y] + w.rows[table.sizes()[0] + y]
+        p = p_class[y] * np.exp(x[k] - np.log(np.exp(x).sum()))
+        total += p if unit < maxent.HEAD else p * c * table.share()[unit - maxent.HEAD]
+    lost = (p_class[maxent.HEAD_CLASSES :] * table.unknown()).sum()
+    assert 0.8 < total + lost <= 1 + 1e-4  # groups without a word keep a little that no word has
+
+
+def test_maxent_tables_grow():
+    sizes = [maxent.Table(*[np.empty(0)] * 3, 0, types, 1, np.empty(0), np.empty(0)).sizes() for types in (0, 10**5, 10**6, 10**9)]
+    assert sizes == [(8192, 512), (8192, 512), (65536, 4096), (65536, 4096)]
