@@ -35,8 +35,8 @@ HEAD, MEMBERS, TAIL = 512, 32, 16
 HEAD_CLASSES = HEAD // MEMBERS
 CLASSES = HEAD_CLASSES + TAIL
 ROWS_LEAST, ROWS_MOST = 1 << 13, 1 << 16  # hashed feature rows for the class: a power of two
-TYPES_A_ROW = 16
-CONTEXT_ROWS = 16  # one context for the members of classes for so many rows
+TYPES_A_ROW = 32
+CONTEXT_ROWS = 32  # one context for the members of classes for so many rows
 MID = 1 << 19
 ROUNDS, MINIBATCH, RATE = 2, 8192, 0.15
 _PLACE_BITS = 13  # of a place in a minibatch
@@ -291,12 +291,12 @@ def train(docs: DataFrame, table: Table, rounds: int = ROUNDS) -> Weights:
         some = docs.filter(F.pmod("part", F.lit(rounds)) == k).select("x")
         steps = some.mapInPandas(_train(w, table), "row int, used long, step array<smallint>")
         # One row for each feature row and task; the sums are spread over the feature rows, and their result has a fixed size.
-        total = steps.groupBy("row").agg(F.sum("used").alias("used"), *(F.sum(F.col("step")[i].cast("long") * F.col("used")).alias(f"s{i}") for i in range(MEMBERS)))
+        means = F.array(*((F.sum(F.col("step")[i].cast("long") * F.col("used")) / F.sum("used") / FIX).cast("float") for i in range(MEMBERS)))
         with own_shuffles(docs.sparkSession):
-            got = total.toPandas()
+            got = steps.groupBy("row").agg(means.alias("step")).toArrow().combine_chunks()
         rows = w.rows.copy()
         if len(got):
-            rows[got["row"]] += (got[[f"s{i}" for i in range(MEMBERS)]].to_numpy(np.float64) / FIX / got["used"].to_numpy(np.float64)[:, None]).astype(np.float32)
+            rows[got["row"].to_numpy()] += pa.concat_arrays(got["step"].chunks).flatten().to_numpy().reshape(-1, MEMBERS)
         w = Weights(rows, w.bias, w.words)
     return w
 

@@ -328,4 +328,4 @@ def test_maxent_is_a_distribution():
 
 def test_maxent_tables_grow():
     sizes = [maxent.Table(*[np.empty(0)] * 3, 0, types, 1, np.empty(0), np.empty(0)).sizes() for types in (0, 10**5, 10**6, 10**9)]
-    assert sizes == [(8192, 512), (8192, 512), (65536, 4096), (65536, 4096)]
+    assert sizes == [(8192, 256), (8192, 256), (32768, 1024), (65536, 2048)]
