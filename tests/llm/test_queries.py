@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from terrane.llm import queries
@@ -60,6 +61,40 @@ def test_op1(spark, odd_dir):
             assert abs((rank + 0.5) / n - (k + 0.5) / len(ranks)) < 0.12
 
 
+def test_op1_ranks(spark, odd_dir, monkeypatch):
+    """Against plain windows over each source and over all rows, however many buckets there are."""
+    from pyspark.sql import Window as W
+
+    from terrane.llm import sharding
+
+    docs = spark.read.parquet(f"{odd_dir}/documents.parquet")
+    crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long")
+    plain = docs.select("doc_id", "source", crc.alias("text_crc32"), F.xxhash64(F.lit(7), "doc_id", crc).alias("h"))
+    by = W.partitionBy("source")
+    unsigned = [F.col("h") < 0, "h", "doc_id", "text_crc32"]
+    plain = plain.withColumn("f", (2 * F.row_number().over(by.orderBy(*unsigned)) - 1) / (2 * F.count("*").over(by)))
+    tie = [F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), "h", "doc_id", "text_crc32"]
+    plain = plain.withColumn("rank", F.row_number().over(W.orderBy("f", *tie)) - 1)
+    want = Counter((r["doc_id"], r["text_crc32"], r["rank"]) for r in plain.collect())
+    for bits in (1, sharding.LEAST_BITS, 14):
+        monkeypatch.setattr(sharding, "LEAST_BITS", bits)
+        monkeypatch.setattr(sharding, "LEAST_SLICE_BITS", bits + 3)
+        got = sharding.interleave(docs, 40).collect()
+        assert Counter((r["doc_id"], r["text_crc32"], r["rank"]) for r in got) == want
+
+
+def test_op2_ranges(spark, odd_dir, monkeypatch):
+    """What is drawn doesn't depend on the number of ranges."""
+    from terrane.llm import mixing
+
+    docs = spark.read.parquet(f"{odd_dir}/documents.parquet")
+    drawn = []
+    for bits in (2, 8, 14):
+        monkeypatch.setattr(mixing, "LEAST_BITS", bits)
+        drawn.append(Counter(tuple(r) for r in mixing.drawn(docs, corpus_pipeline.MIX).collect()))
+    assert drawn[0] == drawn[1] == drawn[2] and drawn[0]
+
+
 def test_op2_budgets(spark, odd_dir):
     out = queries.op2_mixing(spark, odd_dir).collect()
     count = Counter()
