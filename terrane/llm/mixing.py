@@ -7,8 +7,8 @@ holds. Each leaf then gives whole epochs of its rows and, of the last epoch, the
 stays within the budget.
 
 A budget is one closed form per level (siblings sorted by capacity over weight, running sums), over one row per leaf.
-The cut in the last epoch is found in two steps: token sums for each of BUCKETS ranges of the order hash, then an exact
-running sum inside the one range where the budget ends. Texts are never shuffled.
+The cut in the last epoch is found in two steps: token sums for ranges of the order hash, whose number follows the number of
+rows, then an exact running sum inside the one range where the budget ends, over one row for each hash. Texts are never shuffled.
 
 Defined results: a null language or source is a node of its own; a null text has no tokens; rows with one id share
 their place in the order; leaves without tokens give nothing; an empty table gives no rows; extra columns pass through.
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from terrane.llm.common import fresh, settle, stratum, words
 
-BUCKETS = 256
+#: Rows for a range of the order hash, about, and the least ranges, as a power of two.
+RANGE_ROWS, LEAST_BITS = 1 << 18, 8
 LEAF = ["_d", "_l", "_s"]
 
 
@@ -92,21 +93,23 @@ def _keys(df: DataFrame, mix: Mix, source: str, lang: str) -> DataFrame:
     return df.withColumn("_d", domain_of(F.col(source), mix)).withColumn("_l", stratum(F.col(lang))).withColumn("_s", stratum(F.col(source)))
 
 
-def plan(df: DataFrame, mix: Mix, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> tuple[DataFrame, DataFrame]:
+def plan(df: DataFrame, mix: Mix, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", range_rows: int = RANGE_ROWS) -> tuple[DataFrame, DataFrame]:
     """The narrow rows (_k, _d, _l, _s, _t tokens) and the leaves with quota, full and cut: a row is in epoch `full` if its hash is at most cut."""
     rows = _keys(df.select(F.col(key).alias("_k"), F.col(text).alias("_x"), F.col(lang).alias("_lang"), F.col(source).alias("_src")), mix, "_src", "_lang")
     rows = settle(rows.select("_k", *LEAF, F.size(words(F.col("_x"))).cast("long").alias("_t")), "mix-rows")
     leaves = settle(quotas(rows.groupBy(*LEAF).agg(F.sum("_t").alias("tokens")), mix), "mix-quotas")
 
     placed = rows.join(leaves, LEAF).withColumn("_h", order_hash(mix.seed, F.col("full"), F.col("_k")))
-    placed = placed.withColumn("_b", F.shiftright("_h", 52).cast("int"))
+    low = 60 - max(LEAST_BITS, (rows.count() // range_rows).bit_length())
+    placed = placed.withColumn("_b", F.shiftright("_h", low))
     sums = placed.groupBy(*LEAF, "_b").agg(F.sum("_t").alias("n"), F.first("rest").alias("rest"))
     sums = sums.withColumn("before", F.sum("n").over(W.partitionBy(*LEAF).orderBy("_b")) - F.col("n"))
     ends = sums.filter((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("n") > F.col("rest"))).select(*LEAF, "_b", "before")
     ends = settle(ends, "mix-ends")
-    inside = placed.join(ends, [*LEAF, "_b"]).withColumn("upto", F.col("before") + F.sum("_t").over(W.partitionBy(*LEAF, "_b").orderBy("_h")))
+    inside = placed.join(ends, [*LEAF, "_b"]).groupBy(*LEAF, "_b", "_h").agg(F.sum("_t").alias("_t"), F.first("before").alias("before"), F.first("rest").alias("rest"))
+    inside = inside.withColumn("upto", F.col("before") + F.sum("_t").over(W.partitionBy(*LEAF, "_b").orderBy("_h")))
     cuts = inside.groupBy(*LEAF).agg(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("_h"))).alias("cut"))
-    floor = ends.select(*LEAF, (F.shiftleft(F.col("_b").cast("long"), 52) - 1).alias("floor"))
+    floor = ends.select(*LEAF, (F.shiftleft("_b", low) - 1).alias("floor"))
     cut = floor.join(cuts, LEAF, "left").select(*LEAF, F.coalesce("cut", "floor").alias("cut"))
     return rows, settle(leaves.join(cut, LEAF).select(*LEAF, "quota", "full", "cut"), "mix-cuts")
 
