@@ -83,7 +83,7 @@ class Project:
         rows = rows.filter(F.col("language").isin([x for x in ("go", "typescript", "tsx") if x in found or (x == "tsx" and "typescript" in found)]))
         module = files.module_name(self.spark, self.root) if "go" in found else ""
         rows = rows.withColumn("project", F.lit("p")).withColumn("module", F.lit(module))
-        return model.from_extracted(files.extract(rows))
+        return model.from_texts(rows)
 
     def model(self) -> model.Model:
         """The cached model if the sources are the same and it has a coverage unit or an error; else a new one."""

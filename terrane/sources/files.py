@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+import json
+import tempfile
+from collections.abc import Collection, Iterable, Iterator, Mapping
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,31 +72,68 @@ def module_name(spark: SparkSession, root: str) -> str:
     return row["value"].split()[1] if row else "main"
 
 
-_OUT = "relation STRING, row STRING"
+_HELD, _OUT = 1 << 24, 1 << 20  # bytes of a group's texts in memory, and characters of a batch of rows
 
 
-def extract(texts: DataFrame, project: str = "project", module: str = "module", language: str = "language") -> DataFrame:
-    """project, module, language, path, text to rows of all relations: project, relation, row (JSON).
+class _Texts(Mapping):
+    """Texts of one group by path; beyond _HELD bytes they lie in a file of the worker's own, which goes with the group."""
 
-    A Go package or a TypeScript project is one group; it reads its own files only, and a project's package ids as a column."""
-    import json
+    def __init__(self, batches: Iterable[pa.RecordBatch]):
+        self.file, self.places, end = tempfile.SpooledTemporaryFile(_HELD), {}, 0
+        for f in batches:
+            for path, text in zip(f.column("path").to_pylist(), f.column("text")):
+                data = text.as_py().encode()
+                self.file.write(data)
+                self.places[path] = end, len(data)
+                end += len(data)
 
+    def __getitem__(self, path: str) -> str:
+        at, n = self.places[path]
+        self.file.seek(at)
+        return self.file.read(n).decode()
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.places)
+
+    def __len__(self) -> int:
+        return len(self.places)
+
+
+def extract(texts: DataFrame, project: str = "project", module: str = "module", language: str = "language", names: Collection[str] = tuple(schema.RELATIONS)) -> DataFrame:
+    """project, module, language, path, text to rows of the relations named: project, relation, row (JSON).
+
+    A Go package or a TypeScript project is one group; it reads its own files only, and a project's package ids as a column. A group
+    passes file by file: what is held of it is its paths and the names that it declares."""
     folder = F.regexp_replace("path", "/?[^/]*$", "")
     rows = texts.withColumn("dir", F.when(F.col(language) == "go", folder).otherwise(""))
     dirs = rows.filter(F.col(language) == "go").groupBy(project).agg(F.array_sort(F.collect_set("dir")).alias("dirs"))
     rows = rows.join(dirs, project, "left").select(F.col(project).alias("project"), F.col(module).alias("module"), F.when(F.col(language) == "go", "go").otherwise("ts").alias("lang"), "dir", "dirs", "path", "text")
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        texts = dict(zip(f["path"], f["text"]))
-        first = f.iloc[0]
-        if first["lang"] == "go":
-            found = golang.extract_package(first["module"], first["dir"], texts, list(first["dirs"]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches)
+        of, source, folder = (first.column(c)[0].as_py() for c in ("project", "module", "dir"))
+        found = _Texts(itertools.chain([first], batches))
+        if first.column("lang")[0].as_py() == "go":
+            some = golang.package_rows(source, folder, found, first.column("dirs")[0].as_py(), names)
         else:
-            found = typescript.extract(texts)
-        out = [(first["project"], name, json.dumps(row, ensure_ascii=False)) for name, some in found.items() for row in some]
-        return pd.DataFrame(out, columns=["project", "relation", "row"])
-
-    return rows.groupBy("project", "lang", "dir").applyInPandas(run, f"project STRING, {_OUT}")
+            some = typescript.project_rows(found, names)
+        kinds, out, size = [], [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([of] * len(out), pa.string()), pa.array(kinds, pa.string()), pa.array(out, pa.string())], ["project", "relation", "row"])
+
+        for name, row in some:
+            kinds.append(name)
+            out.append(json.dumps(row, ensure_ascii=False))
+            size += len(out[-1])
+            if size > _OUT:
+                yield batch()
+                kinds, out, size = [], [], 0
+        yield batch()
+
+    # By a fixed number, so that small groups aren't put into one task for their bytes: parsing takes the time.
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "project", "lang", "dir").groupBy("project", "lang", "dir").applyInArrow(run, "project STRING, relation STRING, row STRING")
 
 
 def relation(extracted: DataFrame, name: str) -> DataFrame:

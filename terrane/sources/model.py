@@ -61,10 +61,11 @@ def read_json(spark: SparkSession, path: str) -> Model:
     return from_documents(spark.read.schema(schema.model()).json(path, multiLine=True))
 
 
-def from_extracted(extracted: DataFrame) -> Model:
-    from terrane.sources.files import relation
+def from_texts(texts: DataFrame) -> Model:
+    """From source files (project, module, language, path, text); each relation is extracted by itself."""
+    from terrane.sources.files import extract, relation
 
-    return Model(**{n: _defaults(n, relation(extracted, n).drop("project")) for n in schema.RELATIONS})
+    return Model(**{n: _defaults(n, relation(extract(texts, names=(n,)), n).drop("project")) for n in schema.RELATIONS})
 
 
 def union(a: Model, b: Model) -> Model:

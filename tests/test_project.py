@@ -1,11 +1,14 @@
 """The commands end to end on a small Go module and a small TypeScript project."""
 
+import json
+import weakref
+
 import pytest
 from pyspark.sql import functions as F
 
 from terrane.api import Project
 from terrane.operators import labels, tree, validate
-from terrane.sources import golang, typescript
+from terrane.sources import files, golang, typescript
 
 GO = '''package store
 
@@ -153,3 +156,29 @@ def test_validation_errors(spark, project):
     assert [r["message"] for r in validate.validate(odd, m, "file")[1].collect()] == [f"schema: node '{unit}': kind is unknown"]
     edges = spark.createDataFrame([("store/store.go", "x", "y", "verified")], "report STRING, `from` STRING, `to` STRING, status STRING")
     assert validate.edge_errors(edges, nodes).count() == 2 and validate.backed_edges(edges, nodes, m).first()["status"] == "inferred"
+
+
+@pytest.mark.parametrize("module,texts", [(golang, {f"p/c{k}.go": GO for k in range(20)}), (typescript, {f"src/r{k}.ts": TS for k in range(20)} | {"src/help.ts": HELP})])
+def test_a_group_passes_file_by_file(monkeypatch, module, texts):
+    parse, alive, most = module.parse, weakref.WeakSet(), []
+
+    def counted(path, text):
+        f = parse(path, text)
+        alive.add(f.source)
+        most.append(len(alive))
+        return f
+
+    monkeypatch.setattr(module, "parse", counted)
+    out = module.extract("m", texts) if module is golang else module.extract(texts)
+    assert {len(out["errors"]), len(out["packages"])} == {0, 1} and len(out["calls"]) > 20 and max(most) <= 2
+
+
+def test_groups_beyond_memory_give_the_same_rows(spark, monkeypatch):
+    monkeypatch.setattr(files, "_HELD", 64)
+    monkeypatch.setattr(files, "_OUT", 200)
+    texts = {"src/run.ts": TS, "src/help.ts": HELP, "src/again.ts": 'export { help } from "./help.js"\nimport { help } from "./help.js"\n', "src/far.ts": TS.replace("./help.js", "./again.js").replace("run", "far")}
+    rows = [("p", "m", "typescript", path, text) for path, text in texts.items()]
+    got = files.extract(spark.createDataFrame(rows, "project STRING, module STRING, language STRING, path STRING, text STRING")).collect()
+    want = [(name, json.dumps(row, ensure_ascii=False)) for name, some in typescript.extract(texts).items() for row in some]
+    assert sorted((r["relation"], r["row"]) for r in got) == sorted(want)
+    assert ("src/far.ts:far", "src/help.ts:help") in {(json.loads(r)["from"], json.loads(r)["to"]) for name, r in want if name == "calls"}
