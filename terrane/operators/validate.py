@@ -51,11 +51,18 @@ def known_symbols(nodes: DataFrame, model: Model) -> DataFrame:
     return nodes.join(known, F.col("symbol") == F.col("_known"), "left").withColumn("symbol", F.col("_known")).select(*nodes.columns)
 
 
+def line_errors(nodes: DataFrame) -> DataFrame:
+    """Ranges that are no ranges."""
+    name = F.concat(F.lit("node '"), F.col("id"), F.lit("' "))
+    return _errors(nodes.filter((F.col("start_line") < 1) | (F.col("start_line") > F.col("end_line"))), F.concat(name, F.lit("has invalid source range "), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string")))
+
+
 def node_errors(nodes: DataFrame, model: Model, level: str) -> DataFrame:
+    """Faults of nodes by themselves, lines apart (line_errors)."""
     name = F.concat(F.lit("node '"), F.col("id"), F.lit("' "))
-    out = _errors(nodes.filter((F.col("start_line") < 1) | (F.col("start_line") > F.col("end_line"))), F.concat(name, F.lit("has invalid source range "), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string")))
     files = model.symbols.select(F.col("source.file").alias("file")).distinct()
-    out = out.unionByName(_errors(nodes.filter("file is not null").join(files, "file", "left_anti"), F.concat(name, F.lit("references unknown file '"), F.col("file"), F.lit("'"))))
+    unknown = nodes.filter("file is not null").select("file").distinct().join(files, "file", "left_anti")
+    out = _errors(nodes.join(unknown, "file", "left_semi"), F.concat(name, F.lit("references unknown file '"), F.col("file"), F.lit("'")))
     if level != "project":
         out = out.unionByName(_errors(nodes.filter("file is null"), F.concat(name, F.lit("missing source ref on scoped level"))))
         out = out.unionByName(_errors(nodes.filter(F.coalesce(F.trim("summary"), F.lit("")) == ""), F.concat(name, F.lit("missing Russian summary"))))
@@ -101,8 +108,9 @@ def coverage_errors(nodes: DataFrame, model: Model, level: str) -> DataFrame:
     if level == "function":
         want = want.filter("s >= rs and e <= re")
     key = F.struct("report", "id").alias("key")
-    have = nodes.join(roots.filter("rf is not null").select("report"), "report", "left_semi").select("report", F.explode("coverage_ids").alias("id"))
-    bad = coverage.exactly_once(want.select(key), have.select(key), "key")
+    have = nodes.select("report", F.explode("coverage_ids").alias("id"))
+    bad = coverage.exactly_once(want.select(key), have.select(key), "key").withColumn("report", F.col("key.report"))
+    bad = bad.join(roots.filter("rf is not null").select("report").distinct(), "report", "left_semi")
     quoted = F.concat(F.lit("'"), F.col("key.id"), F.lit("'"))
     text = F.when(F.col("status") == "missing", F.concat(F.lit("coverage: missing AST unit "), quoted)).when(F.col("status") == "unknown", F.concat(F.lit("coverage: unknown AST unit "), quoted))
     text = text.otherwise(F.concat(F.lit("coverage: AST unit "), quoted, F.lit(" appears "), F.col("n").cast("string"), F.lit(" times")))
@@ -115,19 +123,20 @@ def validate(nodes: DataFrame, model: Model, level: str = "file", palette: DataF
     Element types are checked against palette (type) where nodes have the column element_type, branch targets where they have
     branches (condition, target), and ends of edges (report, from, to) where edges are given; see backed_edges for their status."""
     broken = schema_errors(nodes)
-    sound = nodes.join(broken.select("report").distinct(), "report", "left_anti")
-    fixed = snapped(sound, model)
-    errors = broken.unionByName(node_errors(fixed, model, level))
+    lost = broken.select("report").distinct()
+    fixed = known_symbols(snapped(nodes.join(lost, "report", "left_anti"), model), model)
+    # Snapping changes lines only, and leaves a fault in them only where a file's last line is below 1; the other checks read the nodes as they came.
+    none = model.symbols.groupBy(F.col("source.file").alias("file")).agg(F.max("source.end_line").alias("_last")).filter("_last < 1").select("file")
+    errors = line_errors(snapped(nodes.join(none, "file", "left_semi"), model)).unionByName(node_errors(nodes, model, level))
     if palette is not None and "element_type" in nodes.columns:
-        errors = errors.unionByName(palette_errors(fixed, palette))
+        errors = errors.unionByName(palette_errors(nodes, palette))
     if "branches" in nodes.columns:
-        errors = errors.unionByName(branch_errors(fixed.select("report", "id", F.explode("branches.target").alias("target")), fixed))
+        errors = errors.unionByName(branch_errors(nodes.select("report", "id", F.explode("branches.target").alias("target")), nodes))
     if edges is not None:
-        errors = errors.unionByName(edge_errors(edges.join(sound.select("report").distinct(), "report", "left_semi"), fixed))
-    fixed = known_symbols(fixed, model)
+        errors = errors.unionByName(edge_errors(edges, nodes).join(nodes.select("report").distinct(), "report", "left_semi"))
     if level != "project":
-        errors = errors.unionByName(coverage_errors(fixed, model, level))
-    return fixed, errors
+        errors = errors.unionByName(coverage_errors(fixed if level == "function" else nodes, model, level))
+    return fixed, broken.unionByName(errors.join(lost, "report", "left_anti"))
 
 
 def error_texts(errors: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """The commands end to end on a small Go module and a small TypeScript project."""
 
+import dataclasses
 import json
 import weakref
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrane.api import Project
-from terrane.operators import labels, tree, validate
+from terrane.operators import labels, tree, validate, view
 from terrane.sources import files, golang, typescript
 
 GO = '''package store
@@ -182,3 +183,14 @@ def test_groups_beyond_memory_give_the_same_rows(spark, monkeypatch):
     want = [(name, json.dumps(row, ensure_ascii=False)) for name, some in typescript.extract(texts).items() for row in some]
     assert sorted((r["relation"], r["row"]) for r in got) == sorted(want)
     assert ("src/far.ts:far", "src/help.ts:help") in {(json.loads(r)["from"], json.loads(r)["to"]) for name, r in want if name == "calls"}
+
+
+def test_validation_snaps_only_what_lines_need(spark, project):
+    m = project.model()
+    nodes = labels.label(tree.file_reports(m, spark.createDataFrame([("store/store.go",)], "path STRING")))
+    nodes = spark.createDataFrame(nodes.collect(), nodes.schema)
+    errors = validate.validate(nodes, m, "file", edges=view.structural_edges(nodes))[1]
+    assert errors._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") <= 4  # snapped once: to symbols, last lines, calls
+    low = F.col("source").withField("end_line", F.lit(0))
+    odd = dataclasses.replace(m, symbols=m.symbols.withColumn("source", low))
+    assert {r["message"].split(" has ")[-1] for r in validate.validate(nodes, odd, "file")[1].collect()} == {"invalid source range 0-0"}
