@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from terrane.llm.common import stage_dir
 
 BLOCK, SEGMENT, TOGETHER = 4096, 1 << 16, 1 << 22  # ids
+ENCODED = 1 << 23  # characters encoded at a time
 MAGIC = b"TOK1"
 _TABLE_BITS = 12
 _CONF = 8  # steps of confidence of a prediction
@@ -298,7 +299,7 @@ _FILE = "part int, seg int, n_ids long, doc_ids array<long>, doc_lens array<long
 
 def write(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, end_id: int = 0) -> None:
     """Encode every text, append end_id to each, and write the file in ascending order of key."""
-    from terrane.llm.tokencount import encoder
+    from terrane.llm.tokencount import batches, encoder
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -320,15 +321,17 @@ def write(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", voc
 
         ready = 0
         for f in frames:
-            for k, t in zip(f.column(0).to_pylist(), f.column(1).to_pylist()):
-                docs.append((k, np.concatenate([encode(t or ""), end])))
-                open_ids += len(docs[-1][1])
-                if open_ids >= SEGMENT:
-                    held.append(docs)
-                    ready, docs, open_ids = ready + open_ids, [], 0
-                if ready >= TOGETHER:
-                    yield flush()
-                    ready = 0
+            keys, texts = f.column(0).to_pylist(), [t or "" for t in f.column(1).to_pylist()]
+            for a, b in batches(texts, ENCODED):
+                for k, ids in zip(keys[a:b], encode.many(texts[a:b])):
+                    docs.append((k, np.concatenate([ids, end])))
+                    open_ids += len(docs[-1][1])
+                    if open_ids >= SEGMENT:
+                        held.append(docs)
+                        ready, docs, open_ids = ready + open_ids, [], 0
+                    if ready >= TOGETHER:
+                        yield flush()
+                        ready = 0
         if docs:
             held.append(docs)
         if held:

@@ -260,6 +260,22 @@ def test_remembered_pre_tokens():
         assert list(e(t)) == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_texts_are_encoded_together(monkeypatch):
+    """A unit that many texts hold reaches the library once, however few are remembered."""
+    monkeypatch.setattr(tokencount, "_MEMO", 4)
+    rng, tok, asked = random.Random(5), tokencount.tokenizer(), []
+    words = ["the", "und", "caf\u00e9", "x" * 300, "it's", "a,b", "7\u00bd"]
+    odd = ["", " ", "\n", "ends ", " begins", "", "a\x1cb", "x<|endoftext|>y", "\u6f22\u5b57 \u304b\u306a", "\t\r\n", "y" * 40_000]
+    texts = odd + [rng.choice(["", " ", "\n\n"]) + rng.choice([" ", "  ", "\t"]).join(rng.choices(words, k=rng.randrange(40))) for _ in range(300)] + odd
+    e = tokencount.Encoder()
+    fast = e.fast
+    e.fast = lambda units, **how: (asked.extend(units), fast(units, **how))[1]
+    got = e.many(texts)
+    assert [list(x) for x in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(asked) == len(set(asked)) and len(e.young) + len(e.old) <= 4
+    assert [len(x) for x in e.many([])] == [] and [len(x) for x in e.many(["", ""])] == [0, 0]
+
+
 def test_range_coder_round_trip():
     rng = np.random.default_rng(6)
     cases = [np.zeros(0, np.uint32), np.array([0], np.uint32), np.full(9000, 50256, np.uint32), rng.integers(0, 50257, 9000).astype(np.uint32), np.tile(np.arange(50, dtype=np.uint32), 300), np.array([65535, 0] * 4100, np.uint32)]
