@@ -10,6 +10,7 @@ from collections.abc import Collection, Iterable, Iterator, Mapping
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from terrane.sources import golang, schema, typescript
 
@@ -99,8 +100,20 @@ class _Texts(Mapping):
         return len(self.places)
 
 
-def extract(texts: DataFrame, project: str = "project", module: str = "module", language: str = "language", names: Collection[str] = tuple(schema.RELATIONS)) -> DataFrame:
-    """project, module, language, path, text to rows of the relations named: project, relation, row (JSON).
+def _above(rows: Iterable[tuple[str, dict]]) -> Iterator[tuple[str, dict]]:
+    """The rows, which come file by file; each entity with kind and first line of the one above in its file (above), if there is one."""
+    for path, some in itertools.groupby(rows, lambda r: r[1]["source"]["file"] if r[0] == "entities" else None):
+        if path is None:
+            yield from some
+            continue
+        found = [row for _, row in some]
+        labels = {row["id"]: f"{row['kind']}:{row['source']['start_line']}" for row in found}
+        for row in found:
+            yield "entities", row | {"above": labels.get(row["parent_id"])}
+
+
+def extract(texts: DataFrame, project: str = "project", module: str = "module", language: str = "language", names: Collection[str] = tuple(schema.RELATIONS), above: bool = False) -> DataFrame:
+    """project, module, language, path, text to rows of the relations named: project, relation, row (JSON); above: entities have it, too.
 
     A Go package or a TypeScript project is one group; it reads its own files only, and a project's package ids as a column. A group
     passes file by file: what is held of it is its paths and the names that it declares."""
@@ -117,6 +130,8 @@ def extract(texts: DataFrame, project: str = "project", module: str = "module",
             some = golang.package_rows(source, folder, found, first.column("dirs")[0].as_py(), names)
         else:
             some = typescript.project_rows(found, names)
+        if above:
+            some = _above(some)
         kinds, out, size = [], [], 0
 
         def batch() -> pa.RecordBatch:
@@ -136,7 +151,9 @@ def extract(texts: DataFrame, project: str = "project", module: str = "module",
     return rows.repartition(tasks, "project", "lang", "dir").groupBy("project", "lang", "dir").applyInArrow(run, "project STRING, relation STRING, row STRING")
 
 
-def relation(extracted: DataFrame, name: str) -> DataFrame:
-    """One relation of the extracted rows, with its project."""
-    rows = extracted.filter(F.col("relation") == name)
-    return rows.select("project", F.from_json("row", schema.struct(name)).alias("r")).select("project", "r.*")
+def relation(extracted: DataFrame, name: str, above: bool = False) -> DataFrame:
+    """One relation of the extracted rows, with its project; above: entities that were extracted with it."""
+    rows, kind = extracted.filter(F.col("relation") == name), schema.struct(name)
+    if above:
+        kind = StructType([*kind.fields, StructField("above", StringType())])
+    return rows.select("project", F.from_json("row", kind).alias("r")).select("project", "r.*")

@@ -68,6 +68,13 @@ def from_texts(texts: DataFrame) -> Model:
     return Model(**{n: _defaults(n, relation(extract(texts, names=(n,)), n).drop("project")) for n in schema.RELATIONS})
 
 
+def entities_above(texts: DataFrame) -> DataFrame:
+    """Entities of source files, and above: kind and first line of the entity above (null: none), which is in the same file."""
+    from terrane.sources.files import extract, relation
+
+    return _defaults("entities", relation(extract(texts, names=("entities",), above=True), "entities", above=True).drop("project"))
+
+
 def union(a: Model, b: Model) -> Model:
     """Both models' rows; keys are kept as they are."""
     return Model(**{n: df.unionByName(getattr(b, n)) for n, df in a.relations().items()})

@@ -33,6 +33,13 @@ def test_query_equals_its_sql(spark, duck, name):
     assert sorted(map(repr, (tuple(r) for r in got.select(names).collect()))) == sorted(map(repr, want))
 
 
+@pytest.mark.parametrize("name", ["go_entities", "ts_entities"])
+def test_entities_are_extracted_once(spark, duck, name):
+    """Parsing takes nearly all of the time and rows are many: the lines of the entities above come with the rows, without a join."""
+    over, *below = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString().split("FlatMapGroupsInArrow")
+    assert len(below) == 1 and "Exchange" not in over
+
+
 def test_greedy_windows_and_merge(spark):
     rng = random.Random(1)
     rows = [(k, rng.randint(1, 900)) for k in range(5) for _ in range(120)]
