@@ -345,3 +345,40 @@ def test_maxent_is_a_distribution():
 def test_maxent_tables_grow():
     sizes = [maxent.Table(*[np.empty(0)] * 3, 0, types, 1, np.empty(0), np.empty(0)).sizes() for types in (0, 10**5, 10**6, 10**9)]
     assert sizes == [(8192, 256), (8192, 256), (32768, 1024), (65536, 2048)]
+
+
+def test_line_rows_packed():
+    """Packed rows of keys come back whole, in order, and a sketch's counts are never further apart than twice the edits."""
+    rng = np.random.default_rng(3)
+    key, h, sketch = rng.integers(0, 1 << 64, 3000, dtype=np.uint64), rng.integers(-(1 << 63), 1 << 63, 3000), rng.integers(0, 1 << 48, 3000, dtype=np.uint64)
+    got = linededup._unpacked([rows for _, rows in linededup._rows(key, h, sketch, 64)])
+    by = np.argsort(key)
+    assert np.array_equal(got[0], key[by]) and np.array_equal(got[1], (h[by].view(np.uint64) >> np.uint64(24)).astype(np.int64)) and np.array_equal(got[2], sketch[by])
+    rng = random.Random(3)
+    for _ in range(200):
+        a, k = "".join(rng.choice("abcdefghijklmnop é") for _ in range(rng.randint(60, 900))), rng.randint(0, 30)
+        size, cp, *_ = linededup._prepared([a, edited(rng, a, k)])
+        sketches = linededup._sketches(size, cp)
+        assert all(linededup._like(sort, sketches[sort][:1], sketches[sort][1:])[0] <= 2 * k for sort in range(3))
+
+
+@pytest.mark.parametrize("words", [1, 2, 4])
+def test_band_of_words(words):
+    rng = random.Random(15)
+    a = ["".join(rng.choice("abcdeé 😀") for _ in range(rng.randint(0, 400))) for _ in range(60)]
+    most = [rng.randint(1, 32 * words - 1) for _ in a]
+    b = [edited(rng, x, rng.randint(0, m + m // 3 + 3)) for x, m in zip(a, most)]
+    assert linededup.banded(a, b, np.array(most), words).tolist() == [linededup.close(x, y, m) for x, y, m in zip(a, b, most)]
+
+
+def test_many_like_lines(spark):
+    """A key of many lines that don't belong together gives no more pairs than the lines have to do with each other."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(16)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(40)]
+    lines = ["the very same beginning " + " ".join(rng.choice(words) for _ in range(20)) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id LONG, text STRING")
+    rows = linededup.lines_of(df, "doc_id", "text").select("line", "h").mapInArrow(linededup._emit_keys(np.empty(0, np.uint64), 64), "part int, rows binary")
+    met = rows.repartition(2, "part").sortWithinPartitions("part").mapInArrow(linededup._stream(linededup.RUN), "a long, b long, crowd boolean")
+    assert met.filter(~F.col("crowd")).count() < 400 * 399 // 20
