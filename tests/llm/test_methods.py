@@ -382,3 +382,18 @@ def test_many_like_lines(spark):
     rows = linededup.lines_of(df, "doc_id", "text").select("line", "h").mapInArrow(linededup._emit_keys(np.empty(0, np.uint64), 64), "part int, rows binary")
     met = rows.repartition(2, "part").sortWithinPartitions("part").mapInArrow(linededup._stream(linededup.RUN), "a long, b long, crowd boolean")
     assert met.filter(~F.col("crowd")).count() < 400 * 399 // 20
+
+
+def test_crowded_key_has_a_line_once(spark):
+    """A line that repeats one word gives its key at many places; where the key is crowded, the line counts once."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(17)
+    lines = ["repeatedly " * 300 + "".join(rng.choice("abcdefghijklmnop") for _ in range(400)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id LONG, text STRING")
+    at = linededup.lines_of(df, "doc_id", "text").select("line", "h")
+    rows = at.mapInArrow(linededup._emit_keys(np.empty(0, np.uint64), 64), "part int, rows binary")
+    assert sum(len(r["rows"]) for r in rows.collect()) // sum(linededup._PLANES) < 60 * 300
+    met = rows.repartition(2, "part").sortWithinPartitions("part").mapInArrow(linededup._stream(1), "a long, b long, crowd boolean")
+    crowd = met.filter("crowd").select(F.shiftright("a", 16), "b").collect()
+    assert 60 <= len(crowd) == len(set(crowd))
