@@ -31,12 +31,13 @@ from pyspark.sql import functions as F
 
 from terrane.llm.common import stage_dir
 
-BLOCK, SEGMENT, TOGETHER = 4096, 1 << 16, 1 << 22  # ids
+BLOCK, SEGMENT, TOGETHER = 2048, 1 << 16, 1 << 22  # ids
 ENCODED = 1 << 23  # characters encoded at a time
 MAGIC = b"TOK1"
-_TABLE_BITS = 12
+_TABLE_BITS = 10  # the tables of all lanes together must stay near the cache
 _CONF = 8  # steps of confidence of a prediction
 _SCALE = np.uint64(16)
+_ID = np.uint32(0xFFFF)
 _LOW32, _MASK48 = np.uint64(1 << 32), np.uint64((1 << 48) - 1)
 
 
@@ -51,6 +52,22 @@ _FIRST, _WIDTH, _CLASS_OF = _classes()
 _CLASSES, _GROUP = len(_FIRST), 8
 
 
+def _running(x: np.ndarray) -> np.ndarray:
+    """Running sums over the rows: a sum of rows at a time is much faster than cumsum along the first axis."""
+    out = x.copy()
+    for i in range(1, len(out)):
+        out[i] += out[i - 1]
+    return out
+
+
+def _upto(sums: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """How many of each lane's running sums are v at most."""
+    out = np.zeros(len(v), np.uint8)
+    for row in sums:
+        out += row <= v
+    return out.astype(np.int64)
+
+
 class _Model:
     """The adaptive state of several blocks, one lane each; lanes are the last, contiguous axis, and stop from the right."""
 
@@ -69,7 +86,7 @@ class _Model:
         self.member = (np.arange(_GROUP) * lanes)[:, None]
         self.step = _CONF * _CONF * lanes
         self.live(lanes)
-        self.p1, self.p2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.p1, self.p2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
 
     def live(self, n: int) -> None:
         """Only the first n lanes go on."""
@@ -80,36 +97,40 @@ class _Model:
 
     def look(self) -> None:
         """The two guesses, and the weights of order 2, order 1 and order 0 (what they leave)."""
-        h = self.p1 * 40503
-        self.x1 = ((h >> 4) & (self.size - 1)) + self.table
-        self.x2 = (((h ^ self.p2 * 30011) >> 3) & (self.size - 1)) + self.table
-        g1, g2 = self.guess1.take(self.x1), self.guess2.take(self.x2)
-        self.c1, self.c2 = g1 >> 16, g2 >> 16
-        self.g1, self.g2 = (g1 & 0xFFFF).astype(np.int64), (g2 & 0xFFFF).astype(np.int64)
-        self.mixer = (self.c2 * _CONF + self.c1).astype(np.int64) * self.lanes + self.lane
-        self.w0, self.w1, w2 = self.flat_hits.take(self.mixer), self.flat_hits.take(self.mixer + self.step), self.flat_hits.take(self.mixer + 2 * self.step)
+        h = self.p1 * np.uint32(40503)
+        self.x1 = ((h >> np.uint32(4)) & np.uint32(self.size - 1)) + self.table
+        self.x2 = (((h ^ self.p2 * np.uint32(30011)) >> np.uint32(3)) & np.uint32(self.size - 1)) + self.table
+        self.k1, self.k2 = self.guess1.take(self.x1), self.guess2.take(self.x2)
+        self.g1, self.g2 = self.k1 & _ID, self.k2 & _ID
+        self.mixer = ((self.k2 >> np.uint32(16)) * np.uint32(_CONF) + (self.k1 >> np.uint32(16))) * np.int64(self.lanes) + self.lane
+        self.w0, self.w1, self.w2 = self.flat_hits.take(self.mixer), self.flat_hits.take(self.mixer + self.step), self.flat_hits.take(self.mixer + 2 * self.step)
         self.w01 = self.w0 + self.w1
-        self.total = self.w01 + w2
-
-    def learn(self, ids: np.ndarray, which: np.ndarray) -> None:
-        self.flat_hits[self.mixer + which * self.step] += np.uint64(24)
-        x = ids.astype(np.uint32)
-        for table, at, guess, c in ((self.guess1, self.x1, self.g1, self.c1), (self.guess2, self.x2, self.g2, self.c2)):
-            right = guess == ids
-            conf = np.where(right, np.minimum(c + 1, _CONF - 1), np.where(c > 1, c >> 1, 0)).astype(np.uint32)
-            table[at] = (conf << 16) | np.where(c > 1, guess.astype(np.uint32), x)
+        self.total = self.w01 + self.w2
+
+    def choice(self, hit2: np.ndarray, hit1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What stands before the prediction that is right, and its own weight; hit1 counts where hit2 doesn't hold."""
+        self.own = np.where(hit2, self.w0, np.where(hit1, self.w1, self.w2))
+        return np.where(hit2, np.uint64(0), np.where(hit1, self.w0, self.w01)), self.own
+
+    def learn(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        self.flat_hits[self.mixer + np.where(hit2, 0, np.where(hit1, self.step, 2 * self.step))] = self.own + np.uint64(24)
+        # Right: a step of confidence more. Wrong: half of it; a guess of confidence 1 or less gives way.
+        sure = ids | np.uint32((_CONF - 1) << 16)
+        for table, at, k, guess in ((self.guess1, self.x1, self.k1, self.g1), (self.guess2, self.x2, self.k2, self.g2)):
+            wrong = np.where(k >= np.uint32(2 << 16), ((k >> np.uint32(1)) & ~_ID) | guess, ids)
+            table[at] = np.where(guess == ids, np.minimum(k + np.uint32(1 << 16), sure), wrong)
         self.p2, self.p1 = self.p1, ids
 
     def group_sums(self) -> np.ndarray:
         """Running sums of the groups' counts."""
-        return np.cumsum(self.groups[:, : self.n], axis=0)
+        return _running(self.groups[:, : self.n])
 
     def inside(self, rows: np.ndarray, group: np.ndarray) -> np.ndarray:
         """Counts of the classes in the group of each lane."""
         return self.counts.take(self.member + (group * _GROUP * self.lanes + rows))
 
-    def learn_class(self, rows: np.ndarray, cls: np.ndarray) -> None:
-        self.counts[cls * self.lanes + rows] += np.uint64(8)
+    def learn_class(self, rows: np.ndarray, cls: np.ndarray, own: np.ndarray) -> None:
+        self.counts[cls * self.lanes + rows] = own + np.uint64(8)
         self.flat_groups[cls // _GROUP * self.lanes + rows] += np.uint64(8)
 
 
@@ -118,38 +139,41 @@ class _Writer:
 
     def __init__(self, lanes: int, room: int):
         self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, _MASK48, np.uint64)
-        self.words = np.zeros((lanes, room + 1), np.uint32)  # word 0 takes no carry
+        self.words = np.zeros((room + 1, lanes), np.uint32)  # lanes contiguous, as they are written at like places; word 0 takes no carry
         self.n = np.ones(lanes, np.int64)
 
-    def put(self, rows, before: np.ndarray, own: np.ndarray, total: np.ndarray) -> None:
-        """rows: lanes, as a slice or as numbers; before, own and total are uint64."""
-        step = self.range[rows] // total
-        low, rng = self.low[rows] + step * before, step * own
-        carry, short = low > _MASK48, rng < _LOW32
-        number = np.arange(rows.stop) if isinstance(rows, slice) else rows
-        if carry.any():
-            c = number[carry]
-            self.words[c, self.n[c] - 1] += 1
-            low &= _MASK48
-        at = np.flatnonzero(short)
-        if len(at):
-            c = number[at]
-            self.words[c, self.n[c]] = (low[at] >> np.uint64(32)).astype(np.uint32)
-            self.n[c] += 1
-            low[at] = (low[at] << _SCALE) & _MASK48
-            rng[at] <<= _SCALE
+    def put(self, rows, *choices: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        """rows: lanes, as a slice or as numbers; choices, one after the other: before, own and total, all uint64."""
+        low, rng = self.low[rows], self.range[rows]
+        for before, own, total in choices:
+            step = rng // total
+            low, rng = low + step * before, step * own
+            carry = np.flatnonzero(low > _MASK48)
+            if len(carry):
+                c = carry if isinstance(rows, slice) else rows[carry]
+                self.words[self.n[c] - 1, c] += 1
+                low &= _MASK48
+            at = np.flatnonzero(rng < _LOW32)
+            if len(at):
+                c = at if isinstance(rows, slice) else rows[at]
+                n, some = self.n[c], low[at]
+                self.words[n, c] = some >> np.uint64(32)
+                self.n[c] = n + 1
+                low[at] = (some << _SCALE) & _MASK48
+                rng[at] <<= _SCALE
         self.low[rows], self.range[rows] = low, rng
 
     def close(self, lanes: int) -> list[np.ndarray]:
         """Words of all lanes; the last three hold the rest of low."""
         r = np.arange(lanes)
         for k in (32, 16, 0):
-            self.words[r, self.n] = (self.low >> np.uint64(k)).astype(np.uint32) & np.uint32(0xFFFF)
+            self.words[self.n, r] = (self.low >> np.uint64(k)).astype(np.uint32) & np.uint32(0xFFFF)
             self.n += 1
         while (up := self.words >> 16).any():
             self.words &= 0xFFFF
-            self.words[:, :-1] += up[:, 1:]
-        return [self.words[i, 1 : self.n[i]].astype("<u2") for i in range(lanes)]
+            self.words[:-1] += up[1:]
+        words = np.ascontiguousarray(self.words[: self.n.max()].T, "<u2")
+        return [words[i, 1 : self.n[i]] for i in range(lanes)]
 
 
 class _Reader:
@@ -157,11 +181,12 @@ class _Reader:
 
     def __init__(self, words: list[np.ndarray]):
         room = max(map(len, words)) + 4
-        self.words = np.zeros((len(words), room), np.uint16)
+        rows = np.zeros((len(words), room), np.uint16)
         for i, w in enumerate(words):
-            self.words[i, : len(w)] = w
-        first = self.words[:, :3].astype(np.uint64)
-        self.code = (first[:, 0] << np.uint64(32)) | (first[:, 1] << _SCALE) | first[:, 2]
+            rows[i, : len(w)] = w
+        self.words = np.ascontiguousarray(rows.T)  # lanes contiguous, as they are read at like places
+        first = self.words[:3].astype(np.uint64)
+        self.code = (first[0] << np.uint64(32)) | (first[1] << _SCALE) | first[2]
         self.range = np.full(len(words), _MASK48, np.uint64)
         self.n = np.full(len(words), 3, np.int64)
 
@@ -174,7 +199,7 @@ class _Reader:
         at = np.flatnonzero(rng < _LOW32)
         if len(at):
             c = at if isinstance(rows, slice) else rows[at]
-            code[at] = (code[at] << _SCALE) | self.words[c, self.n[c]]
+            code[at] = (code[at] << _SCALE) | self.words[self.n[c], c]
             self.n[c] += 1
             rng[at] <<= _SCALE
         self.code[rows], self.range[rows] = code, rng
@@ -186,32 +211,30 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         return []
     order = np.argsort([-len(b) for b in blocks], kind="stable")
     sizes = np.array([len(blocks[i]) for i in order])
-    ids = np.zeros((sizes[0], len(blocks)), np.int64)
+    ids = np.zeros((sizes[0], len(blocks)), np.uint32)
     for r, i in enumerate(order):
         ids[: len(blocks[i]), r] = blocks[i]
     out, m = _Writer(len(blocks), 3 * int(sizes[0]) + 8), _Model(len(blocks))
-    n, zero, one = len(blocks), np.zeros(len(blocks), np.uint64), np.uint64(1)
+    n, one = len(blocks), np.uint64(1)
     for t in range(int(sizes[0])):
         if sizes[n - 1] <= t:
             n = int(np.searchsorted(-sizes, -t, side="left"))
             m.live(n)
         x = ids[t, :n]
         m.look()
-        which = np.where(x == m.g2, 0, np.where(x == m.g1, 1, 2))
-        before = np.choose(which, (zero[:n], m.w0, m.w01))
-        out.put(slice(0, n), before, np.choose(which, (m.w0, m.w1, m.total - m.w01)), m.total)
-        rest = np.flatnonzero(which == 2)
+        hit2, hit1 = x == m.g2, x == m.g1
+        out.put(slice(0, n), (*m.choice(hit2, hit1), m.total))
+        rest = np.flatnonzero(~(hit2 | hit1))
         if len(rest):
             y = x[rest]
             cls = _CLASS_OF[y]
             group, at = cls // _GROUP, np.arange(len(rest))
-            sums, upto = m.group_sums(), np.cumsum(m.inside(rest, group), axis=0)
+            sums, upto = m.group_sums(), _running(m.inside(rest, group))
             own = m.counts.take(cls * m.lanes + rest)
             before = sums[group, rest] - upto[-1] + upto[cls % _GROUP, at] - own
-            out.put(rest, before, own, sums[-1].take(rest))
-            out.put(rest, (y - _FIRST[cls]).astype(np.uint64), np.full(len(rest), one), _WIDTH[cls].astype(np.uint64))
-            m.learn_class(rest, cls)
-        m.learn(x, which)
+            out.put(rest, (before, own, sums[-1].take(rest)), ((y - _FIRST[cls]).astype(np.uint64), one, _WIDTH[cls].astype(np.uint64)))
+            m.learn_class(rest, cls, own)
+        m.learn(x, hit2, hit1)
     words = out.close(len(blocks))
     coded: list[bytes] = [b""] * len(blocks)
     for r, i in enumerate(order):
@@ -226,36 +249,36 @@ def decode_blocks(coded: list[tuple[int, int, np.ndarray]]) -> list[np.ndarray]:
         return []
     order = np.argsort([-c[0] for c in coded], kind="stable")
     sizes = np.array([coded[i][0] for i in order])
-    ids = np.zeros((sizes[0], len(coded)), np.int64)
+    ids = np.zeros((sizes[0], len(coded)), np.uint32)
     inp, m = _Reader([coded[i][2] for i in order]), _Model(len(coded))
-    n, zero = len(coded), np.zeros(len(coded), np.uint64)
+    n = len(coded)
     for t in range(int(sizes[0])):
         if sizes[n - 1] <= t:
             n = int(np.searchsorted(-sizes, -t, side="left"))
             m.live(n)
         m.look()
         v = inp.at(slice(0, n), m.total)
-        which = (v >= m.w0).astype(np.int64) + (v >= m.w01)
-        inp.take(slice(0, n), np.choose(which, (zero[:n], m.w0, m.w01)), np.choose(which, (m.w0, m.w1, m.total - m.w01)))
-        x = np.where(which == 0, m.g2, m.g1)
-        rest = np.flatnonzero(which == 2)
+        hit2, hit1 = v < m.w0, v < m.w01
+        inp.take(slice(0, n), *m.choice(hit2, hit1))
+        x = np.where(hit2, m.g2, m.g1)
+        rest = np.flatnonzero(~hit1)
         if len(rest):
             sums, at = m.group_sums().take(rest, axis=1), np.arange(len(rest))
             v = inp.at(rest, sums[-1])
-            group = (sums <= v).sum(axis=0)
+            group = _upto(sums, v)
             inside = m.inside(rest, group)
-            upto = np.cumsum(inside, axis=0)
+            upto = _running(inside)
             skip = sums[group, at] - upto[-1]
-            part = (upto <= v - skip).sum(axis=0)
+            part = _upto(upto, v - skip)
             cls, own = group * _GROUP + part, inside[part, at]
             inp.take(rest, skip + upto[part, at] - own, own)
             width = _WIDTH[cls].astype(np.uint64)
             tail = inp.at(rest, width)
-            inp.take(rest, tail, np.full(len(rest), 1, np.uint64))
-            x[rest] = _FIRST[cls] + tail.astype(np.int64)
-            m.learn_class(rest, cls)
+            inp.take(rest, tail, np.uint64(1))
+            x[rest] = _FIRST[cls] + tail.view(np.int64)
+            m.learn_class(rest, cls, own)
         ids[t, :n] = x
-        m.learn(x, which)
+        m.learn(x, hit2, hit1)
     out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(coded)
     for r, i in enumerate(order):
         out[i] = ids[: coded[i][0], r].astype("<u4")

@@ -397,3 +397,26 @@ def test_crowded_key_has_a_line_once(spark):
     met = rows.repartition(2, "part").sortWithinPartitions("part").mapInArrow(linededup._stream(1), "a long, b long, crowd boolean")
     crowd = met.filter("crowd").select(F.shiftright("a", 16), "b").collect()
     assert 60 <= len(crowd) == len(set(crowd))
+
+
+def test_new_units_meet_the_library_together():
+    """Thousands of new words are a few texts for the library, and a text's ids are the library's own."""
+    rng = random.Random(18)
+    blank = (" ", "\n", "  ", " \n", "\t", "\r\n ", "\n\n  ")
+    texts = ["".join(rng.choice(blank) + "".join(rng.choice("abcdeéüABC019.,'s!") for _ in range(rng.randint(1, 9))) for _ in range(2000)) for _ in range(4)]
+    texts += ["", " ", "word", " a  ", "don't stop\n", "x" * 300 + " y", texts[0][1:].strip() + "   "]
+    enc, given = tokencount.Encoder(), []
+    library = enc.fast
+
+    def counted(batch, **options):
+        given.extend(batch)
+        return library(batch, **options)
+
+    enc.fast = counted
+    got = enc.many(texts)
+    assert [x.tolist() for x in got] == [e.ids for e in enc.tok.encode_batch(texts, add_special_tokens=False)]
+    assert 0 < len(given) < 20
+    # Where the tokens' bytes don't tell the units apart, each is encoded alone.
+    odd = tokencount.Encoder()
+    odd.width = odd.width + 1
+    assert all(np.array_equal(x, y) for x, y in zip(got, odd.many(texts)))
